@@ -7,15 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULTS = {
+# What the results depend on; may be set on a running session.
+RUNTIME = {
     # Stored times are naive UTC, so the session must not shift them.
     "spark.sql.session.timeZone": "UTC",
+    # A repeated key inside a nested JSON object: the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A repeated key inside a nested JSON object: the last one counts.
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -23,7 +23,7 @@ def build_session(app_name: str = "logloom", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in {**RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
