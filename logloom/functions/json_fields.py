@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from .patterns import SPACES
 from .timestamps import epoch_ts, iso_ts
 
-_NUMBERS = ["BIGINT", "DOUBLE", "FLOAT"]
-
-
 def json_members(line: Column) -> Column:
     """The line as an array of ``map<string, variant>``.
 
     It has exactly one element if the line is one valid JSON object: read as an array,
     trailing text after the object is an error and more objects are more elements.
     """
-    wrapped = F.concat(F.lit("["), F.btrim(line, F.lit(SPACES)), F.lit("]"))
+    trimmed = F.when(line.startswith("{") & line.endswith("}"), line).otherwise(F.btrim(line, F.lit(SPACES)))
+    wrapped = F.concat(F.lit("["), trimmed, F.lit("]"))
     return F.from_json(wrapped, "array<map<string, variant>>", {"allowSingleQuotes": "false"})
 
 
@@ -36,41 +34,34 @@ def last_member_wins(members: Column) -> Column:
     return F.when(F.size(keys) < F.size(members), deduped).otherwise(members)
 
 
+def first_alias(members: Column, aliases: list[str]) -> Column:
+    """The value under the first alias that is present; a JSON null is a variant, not a SQL NULL."""
+    return F.coalesce(*[F.element_at(members, a) for a in aliases])
+
+
 def nested_objects(members: Column) -> Column:
     """The member values that are objects themselves, in document order."""
-    objects = F.transform(
-        F.map_values(members),
-        lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v.try_cast("map<string, variant>")),
-    )
+    objects = F.transform(F.map_values(members), lambda v: v.try_cast("map<string, variant>"))
     return F.filter(objects, lambda o: o.isNotNull())
 
 
-def find_field(members: Column, nested: Column, aliases: list[str]) -> Column:
-    """The first alias present at the top, else in the first nested object that has any.
-
-    A present JSON null counts as found; it is a variant null, not a SQL NULL.
-    """
-
-    def by_alias(m: Column) -> Column:
-        return F.coalesce(*[F.element_at(m, a) for a in aliases])
-
-    holders = F.filter(nested, lambda m: by_alias(m).isNotNull())
-    return F.coalesce(by_alias(members), by_alias(F.get(holders, F.lit(0))))
+def first_nested_alias(nested: Column, aliases: list[str]) -> Column:
+    """The same in the first nested object that has any of the aliases."""
+    holders = F.filter(nested, lambda m: first_alias(m, aliases).isNotNull())
+    return first_alias(F.get(holders, F.lit(0)), aliases)
 
 
-def json_text(value: Column) -> Column:
-    """A value as text: strings as they are, True / False, numbers and nested JSON as printed."""
-    return F.when(
-        F.schema_of_variant(value) == "BOOLEAN", F.initcap(value.cast("string"))
-    ).otherwise(value.cast("string"))
+def json_text(value: Column, text: Column) -> Column:
+    """A value and its plain text: booleans read True / False, everything else as printed."""
+    boolean = text.isin("true", "false") & (F.schema_of_variant(value) == "BOOLEAN")
+    return F.when(boolean, F.initcap(text)).otherwise(text)
 
 
-def json_ts(value: Column) -> Column:
+def json_ts(text: Column, kind: Column) -> Column:
     """Numbers (and booleans, as 0 and 1) are epoch seconds, texts are ISO 8601."""
-    kind = F.schema_of_variant(value)
-    number = kind.isin(_NUMBERS) | kind.startswith("DECIMAL")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     return (
-        F.when(kind == "STRING", iso_ts(value.cast("string")))
-        .when(number, epoch_ts(value.try_cast("double")))
-        .when(kind == "BOOLEAN", epoch_ts(value.try_cast("boolean").cast("int").cast("double")))
+        F.when(kind == "STRING", iso_ts(text))
+        .when(number, epoch_ts(text.try_cast("double")))
+        .when(kind == "BOOLEAN", epoch_ts((text == "true").cast("double")))
     )

@@ -1,6 +1,6 @@
 """Text to naive-UTC timestamps. Whatever is not a valid time becomes NULL.
 
-All arithmetic stays in TIMESTAMP_NTZ, so the session time zone cannot shift a result.
+The session time zone has to be UTC.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ _EPOCH = datetime(1970, 1, 1)
 _FIRST_SECOND = -62135596800  # 0001-01-01 00:00:00
 _LAST_SECOND = 253402300799  # 9999-12-31 23:59:59
 
+_ACCESS = r"^[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-](?:0[0-9]|1[0-7])[0-5][0-9]\z"
+_PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z?\z"
 # groups: year, -, month, day, hour, :, minute, second, fraction, zone, sign, hours, :, minutes, seconds
 _ISO = (
     r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})"
@@ -76,7 +78,10 @@ def access_ts(text: Column) -> Column:
             F.when(signed, local - offset).otherwise(local),
         )
 
-    return _once(F.split(F.btrim(text, F.lit(SPACES)), f"{S}+"), read)
+    # The usual notation needs no taking apart.
+    return F.when(
+        text.rlike(_ACCESS), F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z")).cast("timestamp_ntz")
+    ).otherwise(_once(F.split(F.btrim(text, F.lit(SPACES)), f"{S}+"), read))
 
 
 def iso_ts(text: Column) -> Column:
@@ -100,7 +105,10 @@ def iso_ts(text: Column) -> Column:
         return F.when(f[7] == "", local).when(valid, local - offset)
 
     fields = F.split(F.regexp_replace(text, _ISO, "\u0000".join(picked)), "\u0000")
-    return F.when(text.rlike(_ISO), _once(fields, read))
+    # The usual notation needs no taking apart.
+    return F.when(text.rlike(_PLAIN), _naive(F.rtrim(text, F.lit("Z")))).when(
+        text.rlike(_ISO), _once(fields, read)
+    )
 
 
 def epoch_ts(seconds: Column) -> Column:

@@ -11,13 +11,21 @@ captured fields, and a line that comes back unchanged did not match.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.json_fields import find_field, json_members, json_text, json_ts, last_member_wins, nested_objects
+from ..functions.json_fields import (
+    first_alias,
+    first_nested_alias,
+    json_members,
+    json_text,
+    json_ts,
+    last_member_wins,
+    nested_objects,
+)
 from ..functions.timestamps import access_ts, android_ts, app_ts
 
 PARSED_COLUMNS = [
@@ -40,28 +48,34 @@ def _after(text: Column, mark: str) -> Column:
     return F.substr(text, F.instr(text, mark) + 1)
 
 
+_ALIASES = {
+    "_ts": P.TS_ALIASES,
+    "_level": P.LEVEL_ALIASES,
+    "_service": P.SERVICE_ALIASES,
+    "_message": P.MESSAGE_ALIASES,
+}
+
+
 def _json_columns(df: DataFrame) -> DataFrame:
     """Add the four fields of JSON lines as ``_ts, _level, _service, _message``; NULL for other lines."""
-    df = df.withColumn("_members", last_member_wins(F.col("_doc")))
-    df = df.withColumn("_nested", nested_objects(F.col("_members")))
-    aliases = {
-        "_ts": P.TS_ALIASES,
-        "_level": P.LEVEL_ALIASES,
-        "_service": P.SERVICE_ALIASES,
-        "_message": P.MESSAGE_ALIASES,
-    }
+    df = df.withColumn("_doc", last_member_wins(F.col("_doc")))
+    df = df.withColumns({name: first_alias(F.col("_doc"), aliases) for name, aliases in _ALIASES.items()})
+    missing = reduce(or_, [F.col(name).isNull() for name in _ALIASES])
+    df = df.withColumn("_nested", F.when(missing, nested_objects(F.col("_doc"))))
     df = df.withColumns(
         {
-            name: F.when(F.col("_doc").isNotNull(), find_field(F.col("_members"), F.col("_nested"), names))
-            for name, names in aliases.items()
+            name: F.when(F.col(name).isNull(), first_nested_alias(F.col("_nested"), aliases)).otherwise(F.col(name))
+            for name, aliases in _ALIASES.items()
         }
     )
+    texts = {f"{name}_text": F.col(name).cast("string") for name in _ALIASES}
+    df = df.withColumns({**texts, "_kind": F.schema_of_variant(F.col("_ts"))})
     return df.withColumns(
         {
-            "_ts": json_ts(F.col("_ts")),
-            "_level": F.upper(json_text(F.col("_level"))),
-            "_service": json_text(F.col("_service")),
-            "_message": json_text(F.col("_message")),
+            "_ts": json_ts(F.col("_ts_text"), F.col("_kind")),
+            "_level": F.upper(json_text(F.col("_level"), F.col("_level_text"))),
+            "_service": json_text(F.col("_service"), F.col("_service_text")),
+            "_message": json_text(F.col("_message"), F.col("_message_text")),
         }
     )
 
@@ -97,7 +111,7 @@ def normalize(lines: DataFrame, line_col: str = "raw_line", reference_year: int
     line = F.col("raw_line")
     df = lines.select(*keep, F.rtrim(F.col(line_col), F.lit("\n")).alias("raw_line"))
 
-    df = df.withColumn("_docs", F.when(line.rlike(P.JSON_START), json_members(line)))
+    df = df.withColumn("_docs", F.when(line.startswith("{") | line.rlike(P.JSON_START), json_members(line)))
     df = df.withColumn("_doc", F.when(F.size("_docs") == 1, F.col("_docs")[0])).drop("_docs")
     unmatched = F.col("_doc").isNull()
     for name, pattern, fields, needed in _REWRITES:
