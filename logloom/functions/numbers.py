@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 
 def round_even(value: Column, digits: int) -> Column:
     """Round the exact binary value, ties to the even digit: 1/32 to 4 digits is 0.0312."""
-    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+    rounded = F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+    # Below the last digit the formatter takes the shortest decimal for the value: decide it here.
+    unit, half = float(f"1e-{digits}"), float(f"5e-{digits + 1}")
+    size = F.abs(value)
+    above = size >= half if Fraction(half) > Fraction(5, 10 ** (digits + 1)) else size > half
+    return F.when(size >= unit, rounded).otherwise(F.when(above, F.signum(value) * unit).otherwise(F.lit(0.0)))
 
 
 def _slot(col: str, low, high, slots: int, integral: bool) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import percentile
+from ..functions.numbers import percentile, round_even
 from ..session import materialize
 
 FEATURE_KEYS = ["total_count", "error_count", "error_rate", "unique_services", "warn_count"]
@@ -145,7 +145,7 @@ def describe_window(total: Column, rate: Column, errors: Column, services: Colum
     parts = F.concat_ws(
         ", ",
         F.format_string("%d events in window", total),
-        F.when(rate > 0, F.concat(F.format_number(rate * 100, 1), F.lit("% error rate"))),
+        F.when(rate > 0, F.concat(F.format_number(round_even(rate * 100, 1), 1), F.lit("% error rate"))),
         F.when(errors > 0, F.format_string("%d errors", errors)),
         F.format_string("%d services", services),
     )

@@ -121,7 +121,7 @@ def fit_kmeans(
         return KMeans(k=k, maxIter=MAX_ITER, seed=seed + start, weightCol="weight").fit(weighted)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(inheritable_thread_target(fit), range(restarts)))
+        models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
