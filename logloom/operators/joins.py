@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import at_most
+from ..session import at_most, materialize
 
 # Rows of a few fixed-width columns: tens of megabytes as a hash table.
 BROADCAST_ROWS = 500_000
@@ -40,12 +40,26 @@ def drop_orphans(entries: DataFrame, files: DataFrame, bound: int = BROADCAST_RO
     return join_files(entries, files.select("id"), bound)
 
 
+def not_stored(
+    entries: DataFrame,
+    existing: DataFrame,
+    keys: tuple[str, ...] = ("log_file_id", "line_number"),
+    bound: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Entries whose key is not stored yet. A key is one line, so no key is hot."""
+    stored = existing.select(*keys)
+    side = F.broadcast(stored) if at_most(stored, bound) else stored
+    return entries.join(side, list(keys), "left_anti")
+
+
 def new_entries(
-    entries: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("log_file_id", "line_number")
+    entries: DataFrame,
+    existing: DataFrame,
+    keys: tuple[str, ...] = ("log_file_id", "line_number"),
+    bound: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Entries not stored yet, one per key. The key is unique per line, so no group is hot."""
-    keys = list(keys)
-    return entries.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Entries not stored yet, one per key, for input that may repeat a line."""
+    return not_stored(entries, existing, keys, bound).dropDuplicates(list(keys))
 
 
 def entries_in_windows(
@@ -67,6 +81,8 @@ def entries_in_windows(
         "window_end",
         F.explode(F.sequence(bucket(F.col("window_start")), bucket(last))).alias("_bucket"),
     )
+    # Written out, as the windows may come from an aggregation that is not to run twice.
+    windows = materialize(windows, "windows")
     keyed = entries.where(F.col("timestamp").isNotNull()).withColumn("_bucket", bucket(F.col("timestamp")))
     inside = (F.col("timestamp") >= F.col("window_start")) & (F.col("timestamp") < F.col("window_end"))
     return join_small(keyed, windows, ["_bucket"], "inner", bound).where(inside).drop("_bucket")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import value_at_rank
+from .filters import by_time
 
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 500
@@ -34,12 +35,29 @@ def _page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFr
 
 
 def newest_first(df: DataFrame, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Entries by time, latest first, undated ones last."""
+    """Entries by time, latest first, undated ones last.
+
+    The keys of the page, at most 500, are found first, from the key columns alone; then only
+    the rows in the time span of the page are read in full.
+    """
     check_page(offset, limit)
-    if offset >= SEEK_FROM:
-        df, offset = _seek(df, offset)
+    keys = ["timestamp", "log_file_id", "line_number"]
     order = [F.desc_nulls_last("timestamp"), F.col("log_file_id"), F.col("line_number")]
-    return _page(df, order, offset, limit)
+    start, ahead = _seek(df.select(*keys), offset) if offset >= SEEK_FROM else (df.select(*keys), offset)
+    page = _page(start, order, ahead, limit).collect()
+    times = [r["timestamp"] for r in page if r["timestamp"] is not None]
+    undated = df.where(F.col("timestamp").isNull())
+    if not times:
+        near = undated if page else df.where(F.lit(False))
+    elif len(times) == len(page):
+        near = by_time(df, min(times), max(times))
+    else:
+        near = by_time(df, end=max(times)).unionByName(undated)
+    found = df.sparkSession.createDataFrame(
+        [(r["log_file_id"], r["line_number"]) for r in page], "log_file_id BIGINT, line_number BIGINT"
+    )
+    rows = near.join(F.broadcast(found), ["log_file_id", "line_number"], "left_semi")
+    return rows.orderBy(*order).limit(limit)
 
 
 def _seek(df: DataFrame, offset: int) -> tuple[DataFrame, int]:

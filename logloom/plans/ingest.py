@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.aggregates import file_summary
 from ..operators.filters import utc_now
-from ..operators.joins import join_small, new_entries
+from ..operators.joins import not_stored
 from ..operators.normalize import normalize
 from ..session import at_most, materialize
 from ..sources import logs, tables
@@ -21,20 +23,20 @@ def _time(value) -> Column:
     return F.lit(None if value is None else str(value)).cast("timestamp_ntz")
 
 
-def record_state(files: DataFrame, root: str, status: str, error: str | None = None) -> None:
+def record_state(files: DataFrame, root: str, ingest_id: str, status: str, error: str | None = None) -> None:
     """Append a state of the files to their history."""
     now = utc_now()
-    state = {
-        "status": F.lit(status),
-        "error": F.lit(error).cast("string"),
-        "processed_at": _time(now if status in ("processed", "failed") else None),
-        "recorded_at": _time(now),
-    }
-    df = files.withColumns(state)
-    for field in schemas.LOG_FILES.split(", "):
-        name, kind = field.split(" ")
-        df = df.withColumn(name, F.col(name) if name in df.columns else F.lit(None).cast(kind))
-    tables.append_rows(df.select(*[f.split(" ")[0] for f in schemas.LOG_FILES.split(", ")]), root, "log_files")
+    df = files.withColumns(
+        {
+            "status": F.lit(status),
+            "error": F.lit(error).cast("string"),
+            "processed_at": _time(now if status in ("processed", "failed") else None),
+            "ingest_id": F.lit(ingest_id),
+            "recorded_at": _time(now),
+        }
+    )
+    absent = {c: F.lit(None).cast("bigint") for c in ("total_lines", "parsed_lines", "failed_lines") if c not in df.columns}
+    tables.append_rows(df.withColumns(absent).select(*schemas.columns(schemas.LOG_FILES)), root, "log_files")
 
 
 def entries_of(lines: DataFrame, reference_year: int | None = None) -> DataFrame:
@@ -43,26 +45,30 @@ def entries_of(lines: DataFrame, reference_year: int | None = None) -> DataFrame
     return normalize(numbered, reference_year=reference_year)
 
 
-def store_entries(entries: DataFrame, files: DataFrame, root: str, check_stored: bool) -> DataFrame:
-    """Append the entries not stored yet; the stored line counts of the files come back.
+def earlier_ingests(spark: SparkSession, root: str, files: DataFrame) -> list[str]:
+    """The ingests that tried one of these files before: one per broken attempt, so a few at most."""
+    history = tables.files_history(spark, root).select("id", "ingest_id")
+    tried = history.join(files.select("id"), "id", "left_semi").select("ingest_id").distinct()
+    return [r["ingest_id"] for r in tried.collect()]
+
+
+def store_entries(entries: DataFrame, root: str, ingest_id: str, earlier: list[str]) -> DataFrame:
+    """Append the entries that no earlier attempt stored; the line counts of their files come back.
 
-    Stored keys are read only if ``check_stored`` says that a file was tried before.
+    Only what this ingest and earlier attempts on the same files stored is read.
     """
     spark = entries.sparkSession
-    ids = files.select(F.col("id").alias("log_file_id"))
-    if check_stored:
-        stored = join_small(tables.entries_table(spark, root), ids, ["log_file_id"], "left_semi")
-        entries = new_entries(entries, stored)
-    tables.append_entries(entries, root)
-    stored = join_small(tables.entries_table(spark, root), ids, ["log_file_id"], "left_semi")
-    return file_summary(stored)
+    if earlier:
+        entries = not_stored(entries, tables.entries_of_ingests(spark, root, earlier))
+    tables.append_entries(entries, root, ingest_id)
+    return file_summary(tables.entries_of_ingests(spark, root, [*earlier, ingest_id]))
 
 
-def finish_files(files: DataFrame, summary: DataFrame, root: str) -> None:
-    """Record the files as processed, with their line counts; an empty file has none."""
+def finish_files(files: DataFrame, summary: DataFrame, root: str, ingest_id: str) -> None:
+    """Record the files as processed, with their line counts."""
     zero = {"total_lines": 0, "parsed_lines": 0, "failed_lines": 0}
     counted = files.join(summary.withColumnRenamed("log_file_id", "id"), "id", "left").na.fill(zero)
-    record_state(counted, root, "processed")
+    record_state(counted, root, ingest_id, "processed")
 
 
 def ingest(
@@ -84,19 +90,20 @@ def ingest(
     pending = materialize(logs.register_files(accepted, tags).join(done, "id", "left_anti"), "pending")
     if pending.isEmpty():
         return refused
-    tried_before = not known.join(pending.select("id"), "id", "left_semi").isEmpty()
+    ingest_id = uuid.uuid4().hex
+    earlier = earlier_ingests(spark, root, pending)
 
-    record_state(pending, root, "uploaded")
-    record_state(pending, root, "processing")
+    record_state(pending, root, ingest_id, "uploaded")
+    record_state(pending, root, ingest_id, "processing")
     try:
         if at_most(pending, NAMED_PATHS):
             paths = [r["stored_path"] for r in pending.select("stored_path").collect()]
             lines = logs.read_logs(spark, paths)
         else:
             lines = logs.lines_of(logs.read_logs(spark, source), pending)
-        summary = store_entries(entries_of(lines, reference_year), pending, root, tried_before)
-        finish_files(pending, summary, root)
+        summary = store_entries(entries_of(lines, reference_year), root, ingest_id, earlier)
+        finish_files(pending, summary, root, ingest_id)
     except Exception as error:
-        record_state(pending, root, "failed", str(error))
+        record_state(pending, root, ingest_id, "failed", str(error))
         raise
     return refused

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 LOG_FILES = (
     "id BIGINT, filename STRING, stored_path STRING, source STRING, environment STRING, "
     "log_type STRING, status STRING, total_lines BIGINT, parsed_lines BIGINT, failed_lines BIGINT, "
-    "error STRING, uploaded_at TIMESTAMP_NTZ, processed_at TIMESTAMP_NTZ, recorded_at TIMESTAMP_NTZ"
+    "error STRING, uploaded_at TIMESTAMP_NTZ, processed_at TIMESTAMP_NTZ, ingest_id STRING, "
+    "recorded_at TIMESTAMP_NTZ"
 )
 LOG_ENTRIES = (
     "log_file_id BIGINT, line_number BIGINT, timestamp TIMESTAMP_NTZ, level STRING, service STRING, "
     "message STRING, raw_line STRING, parse_status STRING, parse_error STRING, "
-    "parse_confidence DOUBLE, parser_name STRING, created_at TIMESTAMP_NTZ, event_date DATE"
+    "parse_confidence DOUBLE, parser_name STRING, created_at TIMESTAMP_NTZ, ingest_id STRING, event_date DATE"
 )
 WINDOW_MEASURES = [
     "total_count",
@@ -47,6 +48,13 @@ TABLES = {
     "pipeline_runs": PIPELINE_RUNS,
 }
 
+
+
+def columns(schema: str) -> list[str]:
+    """Column names of a schema without nested commas."""
+    return [field.split(" ")[0] for field in schema.split(", ")]
+
+
 # What a reader of each table gets to see: stored_path and parse_error stay internal.
 VIEWS = {
     "log_files": [

@@ -1,6 +1,6 @@
 """Stored tables: a folder of Parquet per table.
 
-Entries are appended and partitioned by day. A table that is replaced as a whole or in part
+Entries are appended, a folder per ingest and day. A table that is replaced as a whole or in part
 is written as a new snapshot folder and then named in the table ``snapshots``; a reader takes
 the latest one named. A write that dies half-way is never named, so it is never read.
 """
@@ -33,21 +33,29 @@ def entries_table(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/log_entries", schemas.LOG_ENTRIES)
 
 
-def append_entries(entries: DataFrame, root: str, cluster_by_day: bool = False) -> None:
-    """Append normalised entries, one folder per day; undated lines get a folder of their own.
+def append_entries(entries: DataFrame, root: str, ingest_id: str, cluster_by_day: bool = False) -> None:
+    """Append normalised entries, one folder per ingest and day; undated lines get one of their own.
 
+    The ingest comes first, so what an ingest stored can be read without the rest of the table.
     Log files mostly run in time order, so a task meets few days and no shuffle is needed.
     ``cluster_by_day`` first gathers each day, big days over several tasks, for sources that
     mix many days.
     """
-    known = schemas.LOG_ENTRIES.split(", ")
-    df = entries.withColumn("event_date", F.col("timestamp").cast("date"))
-    if "created_at" not in df.columns:
-        df = df.withColumn("created_at", F.lit(str(utc_now())).cast("timestamp_ntz"))
-    df = df.select(*[F.col(c.split(" ")[0]) for c in known])
+    df = entries.withColumns(
+        {
+            "created_at": F.lit(str(utc_now())).cast("timestamp_ntz"),
+            "ingest_id": F.lit(ingest_id),
+            "event_date": F.col("timestamp").cast("date"),
+        }
+    ).select(*schemas.columns(schemas.LOG_ENTRIES))
     if cluster_by_day:
         df = df.hint("rebalance", "event_date")
-    df.write.mode("append").partitionBy("event_date").parquet(f"{root}/log_entries")
+    df.write.mode("append").partitionBy("ingest_id", "event_date").parquet(f"{root}/log_entries")
+
+
+def entries_of_ingests(spark: SparkSession, root: str, ingest_ids: list[str]) -> DataFrame:
+    """What the given ingests stored; other folders are not read."""
+    return entries_table(spark, root).where(F.col("ingest_id").isin(ingest_ids))
 
 
 def append_rows(rows: DataFrame, root: str, name: str) -> None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.windows import WINDOW_MINUTES, bucket, finish_windows, window_counts
-from ..plans.ingest import entries_of, finish_files, record_state, store_entries
+from ..plans.ingest import earlier_ingests, entries_of, finish_files, record_state, store_entries
 from ..session import materialize
-from ..sources import logs, tables
+from ..sources import logs
 
 
 def stream_ingest(
@@ -31,18 +33,18 @@ def stream_ingest(
     lines = lines.where(logs.admitted(F.col("filename"), F.col("size_bytes"), extensions, max_mb))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
+        now = F.current_timestamp().cast("timestamp_ntz")
         listed = batch.select(
-            F.col("log_file_id").alias("id"), "filename", "stored_path", F.current_timestamp().cast("timestamp_ntz").alias("uploaded_at")
+            F.col("log_file_id").alias("id"), "filename", "stored_path", now.alias("uploaded_at")
         ).dropDuplicates(["id"])
         files = materialize(logs.register_files(listed, tags), "arrived")
         if files.isEmpty():
             return
-        known = tables.files_history(session, root).select("id")
-        tried_before = not known.join(files.select("id"), "id", "left_semi").isEmpty()
-        record_state(files, root, "processing")
-        summary = store_entries(entries_of(batch, reference_year), files, root, tried_before)
-        finish_files(files, summary, root)
+        ingest_id = uuid.uuid4().hex
+        earlier = earlier_ingests(batch.sparkSession, root, files)
+        record_state(files, root, ingest_id, "processing")
+        summary = store_entries(entries_of(batch, reference_year), root, ingest_id, earlier)
+        finish_files(files, summary, root, ingest_id)
 
     writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -105,7 +105,7 @@ def test_empty_store(spark, tmp_path):
 
 def test_clustering_by_day_stores_the_same(spark, seeded, tmp_path):
     full = seeded.withColumn("parse_error", F.lit(None).cast("string"))
-    tables.append_entries(full, str(tmp_path), cluster_by_day=True)
+    tables.append_entries(full, str(tmp_path), "one", cluster_by_day=True)
     assert entries(spark, str(tmp_path)).count() == 10
 
 

@@ -37,7 +37,7 @@ def test_files_are_joined_only_when_needed(seeded, seeded_files):
 def test_time_bounds_reach_the_partitions(spark, seeded, tmp_path):
     from logloom.sources import tables
 
-    tables.append_entries(seeded.withColumn("parse_error", F.lit(None).cast("string")), str(tmp_path))
+    tables.append_entries(seeded.withColumn("parse_error", F.lit(None).cast("string")), str(tmp_path), "one")
     stored = tables.entries_table(spark, str(tmp_path))
     plan = filters.by_time(stored, datetime(2025, 6, 15, 10), datetime(2025, 6, 16)).select("level")
     text = plan._jdf.queryExecution().executedPlan().toString()
