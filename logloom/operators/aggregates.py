@@ -52,25 +52,29 @@ def total(df: DataFrame) -> DataFrame:
 def stats_summary(entries: DataFrame, files: DataFrame, n: int = 10) -> DataFrame:
     """Totals, level breakdown and top services as rows ``(section, name, count)``.
 
-    The entries are read once, into counts per level and service.
+    The entries are read once, into counts per level and service; those few rows are then added
+    up per level, per service and in total.
     """
     pairs = entries.groupBy("level", "service").agg(F.count("*").alias("count"))
+    grouped = pairs.groupingSets([["level"], ["service"]], "level", "service").agg(
+        F.sum("count").alias("count"), F.grouping("service").alias("by_level")
+    )
 
     def section(df: DataFrame, title: str, name: Column) -> DataFrame:
-        return df.select(F.lit(title).alias("section"), name.cast("string").alias("name"), F.col("count").cast("long"))
-
-    def by(column: str) -> DataFrame:
-        return pairs.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("count").alias("count"))
+        return df.select(
+            F.lit(title).alias("section"), name.cast("string").alias("name"), F.coalesce("count", F.lit(0)).alias("count")
+        )
 
-    services = by("service").orderBy(F.desc("count"), "service").limit(n)
-    all_entries = pairs.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    levels = grouped.where((F.col("by_level") == 1) & F.col("level").isNotNull())
+    services = grouped.where((F.col("by_level") == 0) & F.col("service").isNotNull())
+    services = services.orderBy(F.desc("count"), "service").limit(n)
     all_files = files.agg(F.count("*").alias("count"))
     return reduce(
         DataFrame.unionByName,
         [
-            section(all_entries, "total", F.lit("entries")),
+            section(pairs.agg(F.sum("count").alias("count")), "total", F.lit("entries")),
             section(all_files, "total", F.lit("files")),
-            section(by("level"), "level", F.col("level")),
+            section(levels, "level", F.col("level")),
             section(services, "service", F.col("service")),
         ],
     )
