@@ -39,9 +39,11 @@ def record_state(files: DataFrame, root: str, ingest_id: str, status: str, error
     tables.append_rows(df.withColumns(absent).select(*schemas.columns(schemas.LOG_FILES)), root, "log_files")
 
 
-def entries_of(lines: DataFrame, reference_year: int | None = None) -> DataFrame:
-    """Numbered lines to normalised entries."""
-    numbered = logs.with_line_number(lines).select("log_file_id", "line_number", "raw_line")
+def entries_of(
+    lines: DataFrame, reference_year: int | None = None, splits: DataFrame | None = None
+) -> DataFrame:
+    """Lines to numbered and normalised entries."""
+    numbered = logs.with_line_number(lines, splits).select("log_file_id", "line_number", "raw_line")
     return normalize(numbered, reference_year=reference_year)
 
 

@@ -17,6 +17,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def build_session(app_name: str = "logloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,7 +26,12 @@ def build_session(app_name: str = "logloom", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**RUNTIME, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    if not any(given.contains(key) for key in ("spark.sql.shuffle.partitions", _INITIAL_PARTITIONS)):
+        # Start with three partitions per core; adaptive execution merges small ones.
+        spark.conf.set(_INITIAL_PARTITIONS, max(200, 3 * spark.sparkContext.defaultParallelism))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -76,30 +76,44 @@ def log_lines(text: DataFrame) -> DataFrame:
     ).withColumn("log_file_id", file_id(F.col("stored_path")))
 
 
-def with_line_number(lines: DataFrame, bound: int = BROADCAST_SPLITS) -> DataFrame:
-    """Add ``line_number``, from 1 within each file, without sorting or shuffling the lines.
+_SPLIT = ["log_file_id", "block_start"]
 
-    Lines keep their order inside a file split, so a line's place is the number of lines in
-    the earlier splits of the file plus its distance from the first line of its own split. Only
-    one row per split is counted, summed up and joined back. Should the two scans ever be split
-    differently, a line would fall outside its split and the job stops.
+
+def count_splits(lines: DataFrame) -> DataFrame:
+    """One row per file split with its lines: the first row id, their number, and those before it.
+
+    Written to the shared folder, as the lines are read once for it.
     """
-    split = ["log_file_id", "block_start"]
-    numbered = lines.withColumn("_id", F.monotonically_increasing_id())
-    counts = numbered.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    counts = (
+        lines.withColumn("_id", F.monotonically_increasing_id())
+        .groupBy(*_SPLIT)
+        .agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    )
     earlier = Window.partitionBy("log_file_id").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    splits = counts.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-    splits = materialize(splits, "splits")
+    return materialize(counts.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))), "splits")
+
+
+def with_line_number(
+    lines: DataFrame, splits: DataFrame | None = None, bound: int = BROADCAST_SPLITS
+) -> DataFrame:
+    """Add ``line_number``, from 1 within each file, without sorting or shuffling the lines.
+
+    Lines keep their order inside a file split, so a line's place is the number of lines in
+    the earlier splits of the file plus its distance from the first line of its own split. Should
+    the lines be split differently than they were for ``count_splits``, a line falls outside its
+    split and the job stops.
+    """
+    splits = count_splits(lines) if splits is None else splits
     side = F.broadcast(splits) if at_most(splits, bound) else splits
+    numbered = lines.withColumn("_id", F.monotonically_increasing_id())
     place = F.col("_id") - F.col("_first")
     number = F.when(place.between(0, F.col("_lines") - 1), F.col("_before") + place + 1).otherwise(
         F.raise_error(F.lit("the scan was split differently while counting lines")).cast("bigint")
     )
-    return numbered.join(side, split).withColumn("line_number", number).drop(
-        "_id", "_first", "_lines", "_before"
-    )
+    joined = numbered.join(side, _SPLIT).withColumn("line_number", number)
+    return joined.drop("_id", "_first", "_lines", "_before")
 
 
 def lines_of(lines: DataFrame, files: DataFrame) -> DataFrame:

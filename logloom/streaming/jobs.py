@@ -33,18 +33,18 @@ def stream_ingest(
     lines = lines.where(logs.admitted(F.col("filename"), F.col("size_bytes"), extensions, max_mb))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        now = F.current_timestamp().cast("timestamp_ntz")
-        listed = batch.select(
-            F.col("log_file_id").alias("id"), "filename", "stored_path", now.alias("uploaded_at")
-        ).dropDuplicates(["id"])
+        session = batch.sparkSession
+        splits = logs.count_splits(batch)
+        arrived = splits.select(F.col("log_file_id").alias("id")).distinct()
+        listed = logs.list_source_files(session, source).join(arrived, "id", "left_semi")
         files = materialize(logs.register_files(listed, tags), "arrived")
         if files.isEmpty():
             return
         ingest_id = uuid.uuid4().hex
-        earlier = earlier_ingests(batch.sparkSession, root, files)
+        earlier = earlier_ingests(session, root, files)
         record_state(files, root, ingest_id, "processing")
-        summary = store_entries(entries_of(batch, reference_year), root, ingest_id, earlier)
-        finish_files(files, summary, root, ingest_id)
+        entries = entries_of(batch, reference_year, splits)
+        finish_files(files, store_entries(entries, root, ingest_id, earlier), root, ingest_id)
 
     writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

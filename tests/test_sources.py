@@ -48,7 +48,7 @@ def test_numbers_over_many_splits(spark, tmp_path, bound):
     try:
         lines = logs.read_logs(spark, str(tmp_path))
         assert lines.select("filename", "block_start").distinct().count() > 10
-        rows = logs.with_line_number(lines, bound).where(F.col("filename") == "big.log").collect()
+        rows = logs.with_line_number(lines, bound=bound).where(F.col("filename") == "big.log").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert {r["line_number"]: r["raw_line"] for r in rows} == dict(enumerate(big, 1))
@@ -83,3 +83,11 @@ def test_registration(spark, folder):
     rows = {r["filename"]: r for r in logs.register_files(logs.list_source_files(spark, folder), tags).collect()}
     assert (rows["a.log"]["source"], rows["a.log"]["environment"], rows["a.log"]["status"]) == ("app", "prod", "uploaded")
     assert rows["noext"]["source"] is None and len(rows) == 4
+
+
+def test_lines_split_otherwise_stop_the_job(spark, tmp_path):
+    write(tmp_path, "a.log", b"x\n" * 100)
+    lines = logs.read_logs(spark, str(tmp_path))
+    splits = logs.count_splits(lines).withColumn("_lines", F.lit(50).cast("bigint"))
+    with pytest.raises(Exception, match="split differently"):
+        logs.with_line_number(lines, splits).collect()
