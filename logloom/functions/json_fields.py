@@ -52,9 +52,10 @@ def first_nested_alias(nested: Column, aliases: list[str]) -> Column:
 
 
 def json_text(value: Column, text: Column) -> Column:
-    """A value and its plain text: booleans read True / False, everything else as printed."""
+    """A value as text, given its plain text: True / False, whole floats as 5.0, all else as printed."""
     boolean = text.isin("true", "false") & (F.schema_of_variant(value) == "BOOLEAN")
-    return F.when(boolean, F.initcap(text)).otherwise(text)
+    whole = text.rlike(r"^-?[0-9]{1,18}\z") & F.schema_of_variant(value).startswith("DECIMAL")
+    return F.when(boolean, F.initcap(text)).when(whole, F.concat(text, F.lit(".0"))).otherwise(text)
 
 
 def json_ts(text: Column, kind: Column) -> Column:

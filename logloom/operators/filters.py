@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,12 @@ def by_service(df: DataFrame, service: str) -> DataFrame:
 
 
 def by_keyword(df: DataFrame, keyword: str) -> DataFrame:
-    """Case-insensitive contains; ``%`` and ``_`` in the keyword stay wildcards."""
-    return df.where(F.col("message").ilike(f"%{keyword}%"))
+    """Case-insensitive contains; ``%`` and ``_`` in the keyword stay wildcards.
+
+    A backslash makes the next character literal; before any other one it says nothing.
+    """
+    pattern = re.sub(r"\\([^%_\\])|\\(.)", lambda m: m[1] or m[0], f"%{keyword}%", flags=re.DOTALL)
+    return df.where(F.col("message").ilike(pattern))
 
 
 def by_file(df: DataFrame, file_id: int) -> DataFrame:

@@ -29,6 +29,16 @@ def test_filters(seeded, seeded_files, given, n):
     assert filters.query_entries(seeded, seeded_files, **given).count() == n
 
 
+@pytest.mark.parametrize(
+    "keyword, found",
+    [("\\%", ["100% done"]), ("c:\\t", ["C:tmp"]), ("c:\\\\t", ["C:\\tmp"]), ("done\\", []), ("\\_", ["a_b"]), ("", 4)],
+)
+def test_backslash_in_a_keyword(spark, keyword, found):
+    df = spark.createDataFrame([("100% done",), ("C:\\tmp",), ("C:tmp",), ("a_b",), (None,)], "message STRING")
+    rows = [r[0] for r in filters.by_keyword(df, keyword).collect()]
+    assert rows == found if isinstance(found, list) else len(rows) == found
+
+
 def test_files_are_joined_only_when_needed(seeded, seeded_files):
     plan = filters.query_entries(seeded, seeded_files, level="error")._jdf.queryExecution().toString()
     assert "Join" not in plan
