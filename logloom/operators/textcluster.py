@@ -112,7 +112,7 @@ def cluster_count(n: int) -> int:
 
 
 def fit_kmeans(
-    vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 4
+    vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 5
 ) -> KMeansModel:
     """The best of several starts by training cost; equal messages count as often as they occur."""
     weighted = vectors.select("features", F.col("copies").cast("double").alias("weight"))
@@ -149,8 +149,10 @@ def center_weights(assigned: DataFrame) -> DataFrame:
 
 def keywords(centers: DataFrame, vocab: list, top: int = KEYWORDS) -> DataFrame:
     """The heaviest terms of each centre, joined by ``, `` and cut to 500 characters."""
-    terms = F.array(*[F.lit(v["term"]) for v in vocab])
-    named = centers.where(F.col("weight") > 0).withColumn("term", F.get(terms, F.col("index")))
+    terms = centers.sparkSession.createDataFrame(
+        [(i, v["term"]) for i, v in enumerate(vocab)], "index INT, term STRING"
+    )
+    named = centers.where(F.col("weight") > 0).join(F.broadcast(terms), "index")
     by_weight = Window.partitionBy("label").orderBy(F.round("weight", 9).desc(), "term")
     best = named.withColumn("rank", F.row_number().over(by_weight)).where(F.col("rank") <= top)
     listed = best.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("terms"))
@@ -158,34 +160,35 @@ def keywords(centers: DataFrame, vocab: list, top: int = KEYWORDS) -> DataFrame:
     return listed.select("label", F.substring(joined, 1, 500).alias("keywords"))
 
 
-def center_distance(assigned: DataFrame, centers: DataFrame, terms: int) -> DataFrame:
-    """Add ``distance``, the Euclidean distance of a message from the centre of its cluster."""
-    entries = F.map_from_entries(F.collect_list(F.struct("index", "weight")))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(terms - 1)), lambda i: F.coalesce(F.element_at(F.col("by_index"), i), F.lit(0.0))
-    )
-    # One row of ``terms`` numbers per cluster, so at most 20 rows.
-    table = centers.groupBy("label").agg(entries.alias("by_index")).select("label", dense.alias("center"))
-    vector = F.unwrap_udt("features")
-    dot = F.zip_with(vector["indices"], vector["values"], lambda i, v: v * F.get(F.col("center"), i))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+def center_distance(assigned: DataFrame, centers: list, terms: int) -> DataFrame:
+    """Add ``distance``, the Euclidean distance of a message from the centre of its cluster.
 
-    squared = (
-        total(F.transform(vector["values"], lambda v: v * v))
-        + total(F.transform("center", lambda c: c * c))
-        - 2 * total(dot)
+    ``centers`` are the collected rows of ``center_weights``. A cluster of messages without any
+    known term has none: its centre is at zero, as its messages are.
+    """
+    dense: dict[int, list[float]] = {}
+    for row in centers:
+        dense.setdefault(row["label"], [0.0] * terms)[row["index"]] = row["weight"]
+    schema = "label INT, center ARRAY<DOUBLE>, length DOUBLE"
+    table = [(label, c, sum(w * w for w in c)) for label, c in dense.items()]
+    vector = F.unwrap_udt("features")
+    parts = F.zip_with(
+        vector["indices"], vector["values"], lambda i, v: v * v - 2 * v * F.get(F.col("center"), i)
     )
-    joined = assigned.join(F.broadcast(table), "label", "left")
-    distance = F.sqrt(F.greatest(squared, F.lit(0.0)))
-    # A cluster of messages without any known term has its centre at zero, as they are.
-    return joined.withColumn("distance", F.coalesce(distance, F.lit(0.0))).drop("center")
+    squared = F.col("length") + F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+    # One row per cluster, so at most 20.
+    joined = assigned.join(F.broadcast(assigned.sparkSession.createDataFrame(table, schema)), "label", "left")
+    distance = F.coalesce(F.sqrt(F.greatest(squared, F.lit(0.0))), F.lit(0.0))
+    return joined.withColumn("distance", distance).drop("center", "length")
 
 
 def cluster_table(assigned: DataFrame, vocab: list) -> DataFrame:
-    """One row per non-empty cluster: nearest message, size, keywords, first and last time."""
-    centers = center_weights(assigned)
+    """One row per non-empty cluster: nearest message, size, keywords, first and last time.
+
+    The centres, at most clusters x vocabulary numbers, come to the driver and go to every task.
+    """
+    found = center_weights(assigned)
+    centers = found.collect()
     nearest = F.min_by("message", F.struct(F.round("distance", 9), F.col("message")))
     rows = (
         center_distance(assigned, centers, len(vocab))
@@ -197,7 +200,8 @@ def cluster_table(assigned: DataFrame, vocab: list) -> DataFrame:
             F.max("last_seen").alias("last_seen"),
         )
     )
-    return rows.join(keywords(centers, vocab), "label", "left").select(
+    named = keywords(assigned.sparkSession.createDataFrame(centers, found.schema), vocab)
+    return rows.join(F.broadcast(named), "label", "left").select(
         "label", "example_message", "count", "keywords", "first_seen", "last_seen"
     )
 
