@@ -130,6 +130,16 @@ def cluster_errors(vectors: DataFrame, k: int, **options) -> DataFrame:
     return fit_kmeans(vectors, k, **options).setPredictionCol("label").transform(vectors)
 
 
+def cluster_sizes(assigned: DataFrame) -> DataFrame:
+    """Messages per cluster, copies included; an empty cluster has no row."""
+    return assigned.groupBy("label").agg(F.sum("copies").alias("count"))
+
+
+def seen_span() -> list[Column]:
+    """First and last time of the messages of a cluster."""
+    return [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+
+
 def center_weights(assigned: DataFrame) -> DataFrame:
     """Long form ``(label, index, weight)`` of the cluster centres: the mean of their vectors.
 
@@ -141,9 +151,8 @@ def center_weights(assigned: DataFrame) -> DataFrame:
         .groupBy("label", F.col("e.indices").alias("index"))
         .agg(F.sum(F.col("e.values") * F.col("copies")).alias("total"))
     )
-    sizes = assigned.groupBy("label").agg(F.sum("copies").alias("size"))
-    return sums.join(F.broadcast(sizes), "label").select(
-        "label", "index", (F.col("total") / F.col("size")).alias("weight")
+    return sums.join(F.broadcast(cluster_sizes(assigned)), "label").select(
+        "label", "index", (F.col("total") / F.col("count")).alias("weight")
     )
 
 
@@ -196,8 +205,7 @@ def cluster_table(assigned: DataFrame, vocab: list) -> DataFrame:
         .agg(
             F.substring(nearest, 1, 2000).alias("example_message"),
             F.sum("copies").alias("count"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
+            *seen_span(),
         )
     )
     named = keywords(assigned.sparkSession.createDataFrame(centers, found.schema), vocab)

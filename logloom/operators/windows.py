@@ -53,6 +53,11 @@ def window_features(entries: DataFrame, start=None, end=None, minutes: int = WIN
     return finish_windows(counted)
 
 
+def ordered(features: DataFrame) -> DataFrame:
+    """Window features in time order, for output."""
+    return features.orderBy("window_start")
+
+
 def log_timeline(entries: DataFrame, max_buckets: int = 20) -> DataFrame:
     """Totals, errors and warnings in equal time buckets between the first and the last entry.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import WARN_LEVELS, count_level, counts_by
 from ..operators.paging import largest_clusters
+from ..operators.windows import ordered
 
 
 def headline(entries: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,27 +37,17 @@ def _of_anomalies(features: DataFrame, anomalies: DataFrame | None) -> DataFrame
 
 
 def rate_and_volume(features: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
-    return (
-        _of_anomalies(features, anomalies)
-        .select("window_start", (F.col("error_rate") * 100).alias("error_rate_pct"), "total_count")
-        .orderBy("window_start")
-    )
+    rate = (F.col("error_rate") * 100).alias("error_rate_pct")
+    return ordered(_of_anomalies(features, anomalies).select("window_start", rate, "total_count"))
 
 
 def log_composition(features: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
-    return (
-        _of_anomalies(features, anomalies)
-        .select("window_start", "error_count", "warn_count", "info_count", "debug_count")
-        .orderBy("window_start")
-    )
+    levels = ["error_count", "warn_count", "info_count", "debug_count"]
+    return ordered(_of_anomalies(features, anomalies).select("window_start", *levels))
 
 
 def service_activity(features: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
-    return (
-        _of_anomalies(features, anomalies)
-        .select("window_start", "unique_services", "warn_count")
-        .orderBy("window_start")
-    )
+    return ordered(_of_anomalies(features, anomalies).select("window_start", "unique_services", "warn_count"))
 
 
 def score_band(score: Column) -> Column:

@@ -14,6 +14,7 @@ from ..operators.joins import not_stored
 from ..operators.normalize import normalize
 from ..session import at_most, materialize
 from ..sources import logs, tables
+from .analytics import run_analytics
 
 # Up to here the files to read are named to the scan; beyond, the whole folder is read and filtered.
 NAMED_PATHS = 10_000
@@ -109,3 +110,9 @@ def ingest(
         record_state(pending, root, ingest_id, "failed", str(error))
         raise
     return refused
+
+
+def ingest_and_analyse(spark: SparkSession, source: str, root: str, **options) -> DataFrame:
+    """Ingest, then one analytics run over the last 24 hours; the record of the run comes back."""
+    ingest(spark, source, root, **options)
+    return run_analytics(spark, root, trigger="post_ingestion")
