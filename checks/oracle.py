@@ -154,10 +154,10 @@ def _parsed_by(name: str) -> str:
 
 
 _STORED = f"""
-SELECT event_id // 1000 AS chunk, event_id % 1000 + 1 AS line_number, timestamp, level, service, message, raw_line,
+SELECT event_id // 5000 AS chunk, event_id % 5000 + 1 AS line_number, timestamp, level, service, message, raw_line,
   parse_status, parser_name, 'processed' AS file_status,
-  count(*) OVER (PARTITION BY event_id // 1000) AS total_lines,
-  count(*) FILTER (WHERE parse_status = 'failed') OVER (PARTITION BY event_id // 1000) AS failed_lines
+  count(*) OVER (PARTITION BY event_id // 5000) AS total_lines,
+  count(*) FILTER (WHERE parse_status = 'failed') OVER (PARTITION BY event_id // 5000) AS failed_lines
 FROM ({_VIEWS_EXPECTED})
 """
 
@@ -180,9 +180,9 @@ def _corpus(key: str, table: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "scan_raw": _with(["raw_logs"], "SELECT event_id // 1000 AS chunk, raw_line FROM raw_logs"),
+    "scan_raw": _with(["raw_logs"], "SELECT event_id // 5000 AS chunk, raw_line FROM raw_logs"),
     "line_numbers": _with(
-        ["raw_logs"], "SELECT event_id // 1000 AS chunk, event_id % 1000 + 1 AS line_number, raw_line FROM raw_logs"
+        ["raw_logs"], "SELECT event_id // 5000 AS chunk, event_id % 5000 + 1 AS line_number, raw_line FROM raw_logs"
     ),
     "admit_files": _with(
         ["log_files"],

@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 20, 12)
 YEAR = 2024
-CHUNK = 1000
+CHUNK = 5000
 
 QUERIES: dict[str, Query] = {}
 
@@ -77,7 +77,7 @@ def fixed_clusters(spark, sf_dir):
 
 
 def write_log_files(spark, sf_dir):
-    """The raw lines as text files of 1,000 lines each, in the shared folder."""
+    """The raw lines as text files of 5,000 lines each, in the shared folder."""
     path = scratch_path(spark, "raw-logs")
     lines = views.view(spark, sf_dir, views.RAW_LOGS)
     chunked = lines.select(F.floor(F.col("event_id") / CHUNK).alias("chunk"), "event_id", "raw_line")

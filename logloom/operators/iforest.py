@@ -7,16 +7,21 @@ nodes); they are gathered on the driver and broadcast to the scoring tasks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percentile, round_even
 from ..session import materialize
 
+# The tasks get the functions of this module by value and need not have the package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 FEATURE_KEYS = ["total_count", "error_count", "error_rate", "unique_services", "warn_count"]
 TREES = 100
 SEED = 42

@@ -268,3 +268,24 @@ def test_anomaly_windows_restrict_the_charts(spark):
     assert [tuple(r)[1:] for r in dashboard.rate_and_volume(features, only).collect()] == [(50.0, 1000)]
     assert [tuple(r)[1:] for r in dashboard.log_composition(features, only).collect()] == [(500, 100, 200, 200)]
     assert dashboard.service_activity(features).count() == 3
+
+
+def test_tasks_do_not_need_the_package_installed(tmp_path):
+    """The driver may find the package by a path the workers do not have."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from logloom.session import build_session
+from logloom.operators import iforest
+spark = build_session("away", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+rows = spark.range(30).selectExpr(
+    "timestamp_ntz'2025-01-01' + make_dt_interval(0, 0, CAST(id AS INT)) AS window_start", "id AS total_count",
+    "0L AS error_count", "0D AS error_rate", "1L AS unique_services", "0L AS warn_count")
+print("scored", iforest.fit_score_iforest(rows).count())
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "scored 30" in done.stdout, done.stderr[-2000:]
