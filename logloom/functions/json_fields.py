@@ -23,32 +23,36 @@ def json_members(line: Column) -> Column:
     return F.from_json(wrapped, "array<map<string, variant>>", {"allowSingleQuotes": "false"})
 
 
-def last_member_wins(members: Column) -> Column:
-    """Repeated keys: the last value, at the place of the first."""
-    keys = F.array_distinct(F.map_keys(members))
-    newest_keys = F.reverse(F.map_keys(members))
-    newest = F.reverse(F.map_values(members))
-    deduped = F.map_from_arrays(
-        keys, F.transform(keys, lambda k: F.get(newest, F.array_position(newest_keys, k) - 1))
+def last_member_wins(members: str) -> Column:
+    """Repeated keys in a map column: the last value, at the place of the first."""
+    deduped = (
+        f"map_from_arrays(array_distinct(map_keys({members})), transform(array_distinct(map_keys({members})), "
+        f"k -> get(reverse(map_values({members})), array_position(reverse(map_keys({members})), k) - 1)))"
     )
-    return F.when(F.size(keys) < F.size(members), deduped).otherwise(members)
+    return F.expr(
+        f"CASE WHEN size(array_distinct(map_keys({members}))) < size({members}) THEN {deduped} ELSE {members} END"
+    )
+
 
+def _first_alias(members: str, aliases: list[str]) -> str:
+    return f"coalesce({', '.join(f"element_at({members}, '{a}')" for a in aliases)})"
 
-def first_alias(members: Column, aliases: list[str]) -> Column:
+
+def first_alias(members: str, aliases: list[str]) -> Column:
     """The value under the first alias that is present; a JSON null is a variant, not a SQL NULL."""
-    return F.coalesce(*[F.element_at(members, a) for a in aliases])
+    return F.expr(_first_alias(members, aliases))
 
 
-def nested_objects(members: Column) -> Column:
+def nested_objects(members: str) -> Column:
     """The member values that are objects themselves, in document order."""
-    objects = F.transform(F.map_values(members), lambda v: v.try_cast("map<string, variant>"))
-    return F.filter(objects, lambda o: o.isNotNull())
+    return F.expr(
+        f"filter(transform(map_values({members}), v -> try_cast(v AS MAP<STRING, VARIANT>)), o -> o IS NOT NULL)"
+    )
 
 
-def first_nested_alias(nested: Column, aliases: list[str]) -> Column:
+def first_nested_alias(nested: str, aliases: list[str]) -> Column:
     """The same in the first nested object that has any of the aliases."""
-    holders = F.filter(nested, lambda m: first_alias(m, aliases).isNotNull())
-    return first_alias(F.get(holders, F.lit(0)), aliases)
+    return F.expr(f"get(filter(transform({nested}, m -> {_first_alias('m', aliases)}), v -> v IS NOT NULL), 0)")
 
 
 def json_text(value: Column, text: Column) -> Column:

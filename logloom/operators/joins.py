@@ -23,8 +23,11 @@ def join_small(
     """Join ``large`` with ``small`` on ``keys``; inner or left_semi."""
     if at_most(small, bound):
         return large.join(F.broadcast(small), keys, how)
+    # The salt follows from the row, so a task that is run again salts its rows as before.
+    line = [c for c in ("log_file_id", "line_number") if c in large.columns]
+    unique = line if len(line) == 2 else large.columns
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(SALTS)).cast("int"))
     return salted.join(small.select("*", spread), [*keys, "_salt"], how).drop("_salt")
 
 

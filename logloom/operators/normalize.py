@@ -58,13 +58,13 @@ _ALIASES = {
 
 def _json_columns(df: DataFrame) -> DataFrame:
     """Add the four fields of JSON lines as ``_ts, _level, _service, _message``; NULL for other lines."""
-    df = df.withColumn("_doc", last_member_wins(F.col("_doc")))
-    df = df.withColumns({name: first_alias(F.col("_doc"), aliases) for name, aliases in _ALIASES.items()})
+    df = df.withColumn("_doc", last_member_wins("_doc"))
+    df = df.withColumns({name: first_alias("_doc", aliases) for name, aliases in _ALIASES.items()})
     missing = reduce(or_, [F.col(name).isNull() for name in _ALIASES])
-    df = df.withColumn("_nested", F.when(missing, nested_objects(F.col("_doc"))))
+    df = df.withColumn("_nested", F.when(missing, nested_objects("_doc")))
     df = df.withColumns(
         {
-            name: F.when(F.col(name).isNull(), first_nested_alias(F.col("_nested"), aliases)).otherwise(F.col(name))
+            name: F.when(F.col(name).isNull(), first_nested_alias("_nested", aliases)).otherwise(F.col(name))
             for name, aliases in _ALIASES.items()
         }
     )
