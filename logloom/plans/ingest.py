@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,30 @@ def finish_files(files: DataFrame, summary: DataFrame, root: str, ingest_id: str
     record_state(counted, root, ingest_id, "processed")
 
 
+def take_in(
+    spark: SparkSession,
+    files: DataFrame,
+    read: Callable[[], DataFrame],
+    root: str,
+    reference_year: int | None = None,
+    splits: DataFrame | None = None,
+) -> None:
+    """Store the lines that ``read`` returns, recording each state of their files on the way.
+
+    A failure is recorded with its error and raised.
+    """
+    ingest_id = uuid.uuid4().hex
+    earlier = earlier_ingests(spark, root, files)
+    record_state(files, root, ingest_id, "uploaded")
+    record_state(files, root, ingest_id, "processing")
+    try:
+        entries = entries_of(read(), reference_year, splits)
+        finish_files(files, store_entries(entries, root, ingest_id, earlier), root, ingest_id)
+    except Exception as error:
+        record_state(files, root, ingest_id, "failed", str(error))
+        raise
+
+
 def ingest(
     spark: SparkSession,
     source: str,
@@ -93,22 +118,14 @@ def ingest(
     pending = materialize(logs.register_files(accepted, tags).join(done, "id", "left_anti"), "pending")
     if pending.isEmpty():
         return refused
-    ingest_id = uuid.uuid4().hex
-    earlier = earlier_ingests(spark, root, pending)
 
-    record_state(pending, root, ingest_id, "uploaded")
-    record_state(pending, root, ingest_id, "processing")
-    try:
+    def read() -> DataFrame:
         if at_most(pending, NAMED_PATHS):
             paths = [r["stored_path"] for r in pending.select("stored_path").collect()]
-            lines = logs.read_logs(spark, paths)
-        else:
-            lines = logs.lines_of(logs.read_logs(spark, source), pending)
-        summary = store_entries(entries_of(lines, reference_year), root, ingest_id, earlier)
-        finish_files(pending, summary, root, ingest_id)
-    except Exception as error:
-        record_state(pending, root, ingest_id, "failed", str(error))
-        raise
+            return logs.read_logs(spark, paths)
+        return logs.lines_of(logs.read_logs(spark, source), pending)
+
+    take_in(spark, pending, read, root, reference_year)
     return refused
 
 

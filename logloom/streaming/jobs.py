@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.windows import WINDOW_MINUTES, bucket, finish_windows, window_counts
-from ..plans.ingest import earlier_ingests, entries_of, finish_files, record_state, store_entries
+from ..plans.ingest import take_in
 from ..session import materialize
 from ..sources import logs
 
@@ -38,13 +36,8 @@ def stream_ingest(
         arrived = splits.select(F.col("log_file_id").alias("id")).distinct()
         listed = logs.list_source_files(session, source).join(arrived, "id", "left_semi")
         files = materialize(logs.register_files(listed, tags), "arrived")
-        if files.isEmpty():
-            return
-        ingest_id = uuid.uuid4().hex
-        earlier = earlier_ingests(session, root, files)
-        record_state(files, root, ingest_id, "processing")
-        entries = entries_of(batch, reference_year, splits)
-        finish_files(files, store_entries(entries, root, ingest_id, earlier), root, ingest_id)
+        if not splits.isEmpty():
+            take_in(session, files, lambda: batch, root, reference_year, splits)
 
     writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -140,6 +140,23 @@ def test_stream_ingest_in_steps(spark, place, tmp_path):
     assert entries(spark, root).count() == 7
 
 
+def test_a_broken_stream_batch_is_recorded_and_taken_up_again(spark, place, tmp_path, monkeypatch):
+    source, root = place
+    real = jobs.finish_files
+
+    def fail(*args):
+        raise RuntimeError("disk gone")
+
+    monkeypatch.setattr(jobs, "finish_files", fail)
+    with pytest.raises(Exception, match="disk gone"):
+        stream_ingest(spark, str(source), root, str(tmp_path / "progress")).awaitTermination()
+    assert files(spark, root)["sample.txt"]["status"] == "failed"
+    monkeypatch.setattr(jobs, "finish_files", real)
+    stream_ingest(spark, str(source), root, str(tmp_path / "progress")).awaitTermination()
+    assert entries(spark, root).count() == 5
+    assert files(spark, root)["sample.txt"]["status"] == "processed"
+
+
 STREAM_SCHEMA = "timestamp TIMESTAMP_NTZ, level STRING, service STRING"
 
 
