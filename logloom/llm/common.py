@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the Python workers, once per application.
+
+    They then import it, so that what a worker has learned (word caches) lasts from task to task.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        path = os.path.join(tempfile.mkdtemp(prefix="code-"), f"{package.name}.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(application)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(doc_id: Column | str, folds: int) -> Column:
+def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
-    text = F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string")
-    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % folds
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def drawn(rows: DataFrame, group: str, per_group: int) -> DataFrame:
+    """About ``per_group`` rows of each value of ``group``, drawn by the hash of doc_id; all if fewer."""
+    counts = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(min(1.0, per_group / n))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(1 << 30)) < share * (1 << 30))
 
 
 def labelled_ids(labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
-    """(doc_id, label) of the training fold, at most ``per_class`` ids per label, drawn by hash.
+    """(doc_id, label) of the training folds, about ``per_class`` ids per label, drawn by hash.
 
-    Ids that carry several labels count as the larger one; null ids and labels are left out.
+    Ids with several labels take the largest; null ids and labels are left out.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_out))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("label"))
-    )
-    drawn = [
-        known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for value in (0, 1)
-    ]
-    return drawn[0].unionByName(drawn[1])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_out))
+    return drawn(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), "label", per_class)
 
 
 def chunked(texts, size: int = 1 << 18) -> Iterator[tuple[int, int]]:

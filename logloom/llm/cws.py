@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from logloom.session import materialize
 
-from .common import chunked, starts_of
+from .common import chunked, ship, starts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -324,6 +324,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: int) -> DataFrame:
     """Per row: doc_id, digest, root (of its class), class_id."""
     spark = docs.sparkSession
+    ship(spark)
     total, cells = count_shingles(docs, words)
     idf = spark.sparkContext.broadcast(scaled_idf(total, cells))
     signed = materialize(

@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 
 from logloom.session import materialize
 
+from .common import ship
+
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 800_000  # words whose ids a Python worker remembers
@@ -106,6 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     ``tokenizer`` is the path of a tokenizers file; the driver reads it and sends it along.
     """
     spark = docs.sparkSession
+    ship(spark)
     with open(tokenizer, encoding="utf-8") as file:
         text = file.read()
     json.loads(text)
@@ -302,6 +305,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Other lengths stop the job. The input is read several times: give a stored table.
     """
     spark = pieces.sparkSession
+    ship(spark)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(w is None or not 1 <= w <= capacity for w in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cws, packing
-from .common import table
+from . import cws, langid, packing, rules, toxicity
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +20,23 @@ def query(function):
     return function
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), toxicity.score(docs, machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ensemble = rules.fit(docs, table(spark, sf_dir, "labels"))
+    stated, _ = rules.with_statistics(docs.select("doc_id", "text"))
+    scored = stated.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), ensemble.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -27,3 +45,11 @@ def op8_best_fit_packing(spark, sf_dir):
 @query
 def op10_near_duplicates(spark, sf_dir):
     return cws.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.predict(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
