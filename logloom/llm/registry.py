@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, langid, packing, rules, toxicity
+from . import cws, langid, mixing, packing, rules, secrets, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op2_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query
+def op4_source_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op4_source_mix"] = mixing.SQL
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -37,6 +45,13 @@ def op6_quality_rules(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query
+def op7_secret_owners(spark, sf_dir):
+    # A source owns its documents; each document is a repository of its own.
+    docs = table(spark, sf_dir, "documents")
+    return secrets.span_digests(docs, owner=F.col("source"), repository=F.col("doc_id"))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
