@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, langid, mixing, packing, rules, secrets, toxicity
+from . import cws, langid, mixing, packing, rules, secrets, sketch, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op4_source_mix(spark, sf_dir):
 ORACLE["op4_source_mix"] = mixing.SQL
 
 
+@query
+def op5_fingerprints(spark, sf_dir):
+    return sketch.fingerprint_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
