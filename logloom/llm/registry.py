@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, langid, mixing, packing, rules, secrets, sketch, toxicity
+from . import chat, cws, langid, mixing, packing, rules, secrets, sketch, toxicity, voronoi
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,14 @@ def query(function):
     return function
 
 
+@query
+def op1_chat_perspectives(spark, sf_dir):
+    return chat.perspective_rows(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op1_chat_perspectives"] = chat.SQL
+
+
 @query
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +36,14 @@ def op2_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query
+def op3_voronoi_top_k(spark, sf_dir):
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op3_voronoi_top_k"] = voronoi.SQL
+
+
 @query
 def op4_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
