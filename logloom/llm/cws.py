@@ -12,8 +12,8 @@ a bucket. There each is compared with the bucket's hub, which is another text in
 exact weighted Jaccard similarity; so a bucket of n texts costs n comparisons, not n squared. Linked
 texts form a class by connected components.
 
-Equal texts, differing at most in case and white space, are always one class. Null texts count as
-empty; all texts without a word are one class. Repeated rows are classed like their first. A null
+Equal texts are always one class, and so are texts that differ only in case and white space. Null texts
+count as empty; all texts without a word are one class. Repeated rows are classed like their first. A null
 doc_id is kept and counts as larger than all others.
 """
 
@@ -114,7 +114,8 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 
 
 def digest(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    """Of the text as it is; texts without a word count as empty."""
+    return F.unhex(F.md5(F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise(F.lit("")).cast("binary")))
 
 
 def _lower(texts) -> list[bytes]:
