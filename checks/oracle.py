@@ -86,7 +86,7 @@ JOIN (SELECT label, sum(copies) AS size FROM labelled GROUP BY 1) USING (label)
     "clusters": (
         "centers",
         """
-SELECT l.label, substr(arg_min(l.message, struct_pack(d := round(d.distance, 9), m := l.message)), 1, 2000)
+SELECT l.label, arg_min(l.message, struct_pack(d := round(d.distance, 9), m := l.message))
     AS example_message,
   CAST(sum(l.copies) AS BIGINT) AS count, any_value(k.keywords) AS keywords,
   min(l.first_seen) AS first_seen, max(l.last_seen) AS last_seen
@@ -96,7 +96,7 @@ JOIN (SELECT message, sqrt(greatest(0, any_value(x2) + any_value(c2) - 2 * sum(w
       JOIN labelled l USING (message)
       JOIN (SELECT *, sum(weight * weight) OVER (PARTITION BY label) AS c2 FROM centers) c USING (label, term)
       GROUP BY 1) d USING (message)
-LEFT JOIN (SELECT label, substr(string_agg(term, ', ' ORDER BY place), 1, 500) AS keywords FROM (
+LEFT JOIN (SELECT label, string_agg(term, ', ' ORDER BY place) AS keywords FROM (
       SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY round(weight, 9) DESC, term) AS place
       FROM centers WHERE weight > 0) WHERE place <= 5 GROUP BY 1) k USING (label)
 GROUP BY 1""",
@@ -214,7 +214,7 @@ UNION ALL SELECT window_start, window_end, total_count, 'new' FROM hourly""",
     "run_record": _with(
         ["log_entries"],
         """SELECT 'manual' AS trigger, 'failed' AS status, count(*) AS anomalies_detected,
-  CAST(2000 AS BIGINT) AS error_length, true AS finished FROM log_entries WHERE level = 'ERROR'""",
+  CAST(3000 AS BIGINT) AS error_length, true AS finished FROM log_entries WHERE level = 'ERROR'""",
     ),
     "ingest_batch": _STORED,
     "stream_ingest": _STORED,

@@ -106,7 +106,7 @@ def line_numbers(spark, sf_dir):
 
 @query
 def admit_files(spark, sf_dir):
-    accepted, refused = logs.admit_files(files(spark, sf_dir))
+    accepted, refused = logs.admit_files(files(spark, sf_dir), max_mb=200)
     both = accepted.withColumn("admitted", F.lit(True)).unionByName(refused.withColumn("admitted", F.lit(False)))
     return both.select("id", "filename", "size_bytes", "admitted")
 

@@ -24,6 +24,8 @@ def _slot(col: str, low, high, slots: int, integral: bool) -> Column:
     value, low, high = F.col(col), F.lit(low), F.lit(high)
     if integral:
         value, low, high = (c.cast("decimal(20,0)") for c in (value, low, high))
+    else:  # halves, as the whole range may be larger than any number
+        value, low, high = (c / 2 for c in (value, low, high))
     share = (value - low).cast("double") / (high - low).cast("double")
     return F.least(F.floor(share * slots), F.lit(slots - 1))
 
@@ -33,14 +35,32 @@ def value_at_rank(df: DataFrame, col: str, rank: int, slots: int = 4096):
 
     Exact without a sort: count rows per slot of the value range, step into the slot that
     holds the rank, repeat. Each pass returns at most ``slots`` rows, and equal values, however
-    many, fall into one slot. NULLs are left out.
+    many, fall into one slot. NULLs are left out. Infinities and NaN, which sorts last, are counted
+    apart: they span no range that could be cut.
     """
     integral = df.schema[col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     values = df.select(col).where(F.col(col).isNotNull())
-    ends = values.agg(F.min(col).alias("low"), F.max(col).alias("high"), F.count("*").alias("n")).first()
-    low, high, before = ends["low"], ends["high"], 0
+    infinity, nan = float("inf"), float("nan")
+    below, above = (F.lit(False), F.lit(False)) if integral else (F.col(col) == -infinity, F.col(col) >= infinity)
+    finite = F.when(~below & ~above, F.col(col))
+    ends = values.agg(
+        F.min(finite).alias("low"),
+        F.max(finite).alias("high"),
+        F.count("*").alias("n"),
+        F.count_if(below).alias("below"),
+        F.count_if(above).alias("above"),
+        F.count_if(F.lit(False) if integral else F.isnan(col)).alias("nan"),
+    ).first()
     if not 0 <= rank < ends["n"]:
         raise ValueError(f"rank {rank} is outside 0..{ends['n'] - 1}")
+    if rank < ends["below"]:
+        return -infinity, 0
+    if rank >= ends["n"] - ends["nan"]:
+        return nan, ends["n"] - ends["nan"]
+    if rank >= ends["n"] - ends["above"]:
+        return infinity, ends["n"] - ends["above"]
+    values = values.where(~below & ~above)
+    low, high, before = ends["low"], ends["high"], ends["below"]
     while low != high:
         counts = (
             values.where(F.col(col).between(low, high))
@@ -57,9 +77,14 @@ def value_at_rank(df: DataFrame, col: str, rank: int, slots: int = 4096):
     return low, before
 
 
-def percentile(df: DataFrame, col: str, share: float) -> float:
-    """The exact percentile with linear interpolation between the two nearest ranks."""
+def percentile(df: DataFrame, col: str, share: float) -> float | None:
+    """The exact percentile with linear interpolation between the two nearest ranks; None without values.
+
+    Between an infinite and another value lies the infinite one.
+    """
     n = df.where(F.col(col).isNotNull()).count()
+    if not n:
+        return None
     place = share * (n - 1)
     rank = math.floor(place)
     low, before = value_at_rank(df, col, rank)
@@ -70,4 +95,6 @@ def percentile(df: DataFrame, col: str, share: float) -> float:
         F.min(F.when(F.col(col) > F.lit(low), F.col(col))).alias("next"),
     ).first()
     high = low if rank + 1 < before + above["same"] else above["next"]
+    if low == high or not math.isfinite(low):
+        return low
     return low + (high - low) * (place - rank)

@@ -16,7 +16,12 @@ def utc_now() -> datetime:
 
 
 def naive(ts: datetime | str) -> Column:
-    """A time bound as a naive-UTC literal."""
+    """A time bound as a naive-UTC literal; an offset, also in a text, is applied."""
+    if isinstance(ts, str):
+        try:
+            ts = datetime.fromisoformat(ts)
+        except ValueError:  # left to the cast, which knows more forms
+            pass
     if isinstance(ts, datetime) and ts.tzinfo is not None:
         ts = ts.astimezone(timezone.utc).replace(tzinfo=None)
     return F.lit(str(ts)).cast("timestamp_ntz")

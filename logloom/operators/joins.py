@@ -32,7 +32,10 @@ def join_small(
 
 
 def join_files(entries: DataFrame, files: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Entries whose file is in ``files``, with the other file columns added."""
+    """Entries whose file is in ``files``, with the other file columns added.
+
+    ``files`` is broadcast if it has at most ``bound`` rows and a bounded size in bytes.
+    """
     keyed = files.withColumnRenamed("id", "log_file_id")
     how = "left_semi" if keyed.columns == ["log_file_id"] else "inner"
     return join_small(entries, keyed, ["log_file_id"], how, bound)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -107,21 +107,21 @@ def choose_k(n: Column | int) -> Column:
     return F.greatest(F.least(wanted, n), F.lit(2)).cast("int")
 
 
-def cluster_count(n: int) -> int:
-    return max(2, min(MAX_CLUSTERS, max(2, n // 5), n))
-
-
 def fit_kmeans(
     vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 5
 ) -> KMeansModel:
     """The best of several starts by training cost; equal messages count as often as they occur."""
     weighted = vectors.select("features", F.col("copies").cast("double").alias("weight"))
+    weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)  # read by every start; rebuilt if an executor is lost
 
     def fit(start: int) -> KMeansModel:
         return KMeans(k=k, maxIter=MAX_ITER, seed=seed + start, weightCol="weight").fit(weighted)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
+    finally:
+        weighted.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -157,7 +157,7 @@ def center_weights(assigned: DataFrame) -> DataFrame:
 
 
 def keywords(centers: DataFrame, vocab: list, top: int = KEYWORDS) -> DataFrame:
-    """The heaviest terms of each centre, joined by ``, `` and cut to 500 characters."""
+    """The heaviest terms of each centre, joined by ``, ``."""
     terms = centers.sparkSession.createDataFrame(
         [(i, v["term"]) for i, v in enumerate(vocab)], "index INT, term STRING"
     )
@@ -166,7 +166,7 @@ def keywords(centers: DataFrame, vocab: list, top: int = KEYWORDS) -> DataFrame:
     best = named.withColumn("rank", F.row_number().over(by_weight)).where(F.col("rank") <= top)
     listed = best.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("terms"))
     joined = F.concat_ws(", ", F.transform("terms", lambda t: t["term"]))
-    return listed.select("label", F.substring(joined, 1, 500).alias("keywords"))
+    return listed.select("label", joined.alias("keywords"))
 
 
 def center_distance(assigned: DataFrame, centers: list, terms: int) -> DataFrame:
@@ -198,16 +198,12 @@ def cluster_table(assigned: DataFrame, vocab: list) -> DataFrame:
     """
     found = center_weights(assigned)
     centers = found.collect()
-    nearest = F.min_by("message", F.struct(F.round("distance", 9), F.col("message")))
-    rows = (
-        center_distance(assigned, centers, len(vocab))
-        .groupBy("label")
-        .agg(
-            F.substring(nearest, 1, 2000).alias("example_message"),
-            F.sum("copies").alias("count"),
-            *seen_span(),
-        )
-    )
+    # Numbers first, texts only of the messages at the least distance: both are hash aggregations.
+    distant = center_distance(assigned, centers, len(vocab)).withColumn("distance", F.round("distance", 9))
+    rows = distant.groupBy("label").agg(F.min("distance").alias("least"), F.sum("copies").alias("count"), *seen_span())
+    closest = distant.join(F.broadcast(rows.select("label", "least")), "label").where("distance = least")
+    examples = closest.groupBy("label").agg(F.min("message").alias("example_message"))
+    rows = rows.join(F.broadcast(examples), "label").drop("least")
     named = keywords(assigned.sparkSession.createDataFrame(centers, found.schema), vocab)
     return rows.join(F.broadcast(named), "label", "left").select(
         "label", "example_message", "count", "keywords", "first_seen", "last_seen"
@@ -215,22 +211,23 @@ def cluster_table(assigned: DataFrame, vocab: list) -> DataFrame:
 
 
 def prepare(messages: DataFrame, stop_words: list[str] | None = None) -> tuple[DataFrame, list, int]:
-    """Folded and tokenised messages in the shared folder, their vocabulary and their number.
+    """Folded and tokenised messages in the shared folder, their vocabulary and how many clusters to make.
 
     The vocabulary, at most 1,000 rows, comes to the driver, as every task needs all of it.
     """
     tokenized = materialize(tokenize(fold_messages(messages), stop_words), "messages")
-    total = tokenized.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    vocab = vocabulary(tokenized).collect() if total >= MIN_ERRORS else []
-    return tokenized, vocab, total
+    total = F.coalesce(F.sum("copies"), F.lit(0)).alias("total")
+    counted = tokenized.agg(total).select("total", choose_k(F.col("total")).alias("k")).first()
+    vocab = vocabulary(tokenized).collect() if counted["total"] >= MIN_ERRORS else []
+    return tokenized, vocab, counted["k"]
 
 
 def assign_clusters(
     messages: DataFrame, stop_words: list[str] | None = None, **options
 ) -> tuple[DataFrame, list] | None:
     """Labelled messages and the vocabulary; None for fewer than two messages or no usable term."""
-    tokenized, vocab, total = prepare(messages, stop_words)
+    tokenized, vocab, k = prepare(messages, stop_words)
     if not vocab:
         return None
     vectors = materialize(tfidf_vectors(tokenized, vocab).drop("tokens"), "vectors")
-    return materialize(cluster_errors(vectors, cluster_count(total), **options), "assigned"), vocab
+    return materialize(cluster_errors(vectors, k, **options), "assigned"), vocab

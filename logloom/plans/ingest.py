@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +10,13 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.aggregates import file_summary
 from ..operators.filters import utc_now
-from ..operators.joins import not_stored
+from ..operators.joins import drop_orphans, not_stored
 from ..operators.normalize import normalize
-from ..session import at_most, materialize
+from ..session import materialize
 from ..sources import logs, tables
 from .analytics import run_analytics
 
-# Up to here the files to read are named to the scan; beyond, the whole folder is read and filtered.
+# Files that are named to one scan and stored by one ingest.
 NAMED_PATHS = 10_000
 
 
@@ -28,10 +27,11 @@ def _time(value) -> Column:
 def record_state(files: DataFrame, root: str, ingest_id: str, status: str, error: str | None = None) -> None:
     """Append a state of the files to their history."""
     now = utc_now()
+    why = F.col("_why") if "_why" in files.columns else F.lit(error).cast("string")
     df = files.withColumns(
         {
             "status": F.lit(status),
-            "error": F.lit(error).cast("string"),
+            "error": why,
             "processed_at": _time(now if status in ("processed", "failed") else None),
             "ingest_id": F.lit(ingest_id),
             "recorded_at": _time(now),
@@ -78,54 +78,114 @@ def finish_files(files: DataFrame, summary: DataFrame, root: str, ingest_id: str
 def take_in(
     spark: SparkSession,
     files: DataFrame,
-    read: Callable[[], DataFrame],
+    lines: DataFrame,
     root: str,
     reference_year: int | None = None,
-    splits: DataFrame | None = None,
 ) -> None:
-    """Store the lines that ``read`` returns, recording each state of their files on the way.
+    """Store the lines of the files, recording each state of the files on the way.
 
-    A failure is recorded with its error and raised.
+    Lines of other files are left out. Before the files count as processed, their stored lines are
+    compared with those the scan counted. A failure is recorded with its error and raised.
     """
     ingest_id = uuid.uuid4().hex
     earlier = earlier_ingests(spark, root, files)
     record_state(files, root, ingest_id, "uploaded")
     record_state(files, root, ingest_id, "processing")
     try:
-        entries = entries_of(read(), reference_year, splits)
-        finish_files(files, store_entries(entries, root, ingest_id, earlier), root, ingest_id)
+        splits = logs.count_splits(lines)
+        entries = drop_orphans(entries_of(lines, reference_year, splits), files)
+        summary = store_entries(entries, root, ingest_id, earlier)
+        summary = materialize(summary.join(files.select(F.col("id").alias("log_file_id")), "log_file_id", "left_semi"), "summary")
+        check_stored(files, splits, summary)
+        finish_files(files, summary, root, ingest_id)
+        retire(spark, files, root, ingest_id)
     except Exception as error:
         record_state(files, root, ingest_id, "failed", str(error))
         raise
 
 
+def check_stored(files: DataFrame, splits: DataFrame, summary: DataFrame) -> None:
+    """Raise unless every file has as many stored lines as its splits."""
+    counted = splits.groupBy(F.col("log_file_id").alias("id")).agg(F.sum("_lines").alias("counted"))
+    stored = summary.select(F.col("log_file_id").alias("id"), "total_lines")
+    short = (
+        files.select("id", "stored_path")
+        .join(counted, "id", "left")
+        .join(stored, "id", "left")
+        .where(F.coalesce("counted", F.lit(0)) != F.coalesce("total_lines", F.lit(0)))
+    )
+    row = short.first()
+    if row is not None:
+        raise RuntimeError(f"{row['stored_path']}: {row['total_lines']} of {row['counted']} lines stored")
+
+
+def retire(spark: SparkSession, files: DataFrame, root: str, ingest_id: str) -> None:
+    """Record earlier versions of the files as replaced; their lines are read no more."""
+    known = tables.load(spark, root, "log_files").where(F.col("status") == "processed")
+    now = files.select("stored_path", F.col("id").alias("_new"))
+    old = known.join(now, "stored_path").where(F.col("id") != F.col("_new")).drop("_new")
+    old = materialize(old, "replaced")
+    if not old.isEmpty():
+        record_state(old, root, ingest_id, "replaced")
+
+
+def unreadable(error: Exception) -> bool:
+    """Whether a file could not be read, so that others may still be."""
+    return "FAILED_READ_FILE" in str(error)
+
+
+def take_in_paths(spark: SparkSession, files: DataFrame, paths: list[str], root: str, reference_year: int | None) -> list[Exception]:
+    """Ingest the files of these paths; if one can't be read, the halves are tried on their own."""
+    these = files.where(F.col("stored_path").isin(paths))
+    try:
+        take_in(spark, these, logs.read_logs(spark, paths), root, reference_year)
+        return []
+    except Exception as error:
+        if not unreadable(error):
+            raise
+        if len(paths) == 1:
+            return [error]
+    half = len(paths) // 2
+    return [e for part in (paths[:half], paths[half:]) for e in take_in_paths(spark, files, part, root, reference_year)]
+
+
+def record_refused(spark: SparkSession, refused: DataFrame, root: str) -> None:
+    """Record refused files with the reason, each version once. ``refused`` has a column ``error``."""
+    known = tables.files_history(spark, root).where(F.col("status") == "refused").select("id")
+    fresh = materialize(refused.join(known, "id", "left_anti"), "refused")
+    if not fresh.isEmpty():
+        record_state(logs.register_files(fresh).join(fresh.select("id", F.col("error").alias("_why")), "id"), root, uuid.uuid4().hex, "refused")
+
+
 def ingest(
     spark: SparkSession,
     source: str,
     root: str,
     tags: DataFrame | None = None,
     extensions: tuple[str, ...] = logs.EXTENSIONS,
-    max_mb: int = logs.MAX_MB,
+    max_mb: int | None = None,
     reference_year: int | None = None,
 ) -> DataFrame:
     """Ingest the admitted files under ``source`` that are not processed yet; the refused ones come back.
 
-    A file that was cut off half-way is taken up again without storing a line twice.
+    A file is known by path, size and time: one that changed is read again, and its lines take the
+    place of the old ones. A file that was cut off half-way is taken up again without storing a line
+    twice. Files that can't be read are recorded as failed, the others are stored; the first such
+    error is raised at the end. Refused files are recorded with the reason.
     """
     known = tables.load(spark, root, "log_files")
-    accepted, refused = logs.admit_files(logs.list_source_files(spark, source), extensions, max_mb)
+    listed = logs.list_source_files(spark, source)
+    why = logs.refusal(F.col("filename"), F.col("size_bytes"), extensions, max_mb)
+    accepted, refused = listed.where(why.isNull()), listed.where(why.isNotNull())
+    record_refused(spark, refused.withColumn("error", why), root)
     done = known.where(F.col("status") == "processed").select("id")
     pending = materialize(logs.register_files(accepted, tags).join(done, "id", "left_anti"), "pending")
-    if pending.isEmpty():
-        return refused
-
-    def read() -> DataFrame:
-        if at_most(pending, NAMED_PATHS):
-            paths = [r["stored_path"] for r in pending.select("stored_path").collect()]
-            return logs.read_logs(spark, paths)
-        return logs.lines_of(logs.read_logs(spark, source), pending)
-
-    take_in(spark, pending, read, root, reference_year)
+    paths = [r["stored_path"] for r in pending.select("stored_path").orderBy("stored_path").collect()]
+    failed = []
+    for first in range(0, len(paths), NAMED_PATHS):
+        failed += take_in_paths(spark, pending, paths[first : first + NAMED_PATHS], root, reference_year)
+    if failed:
+        raise failed[0]
     return refused
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What the results depend on; may be set on a running session.
 RUNTIME = {
@@ -17,6 +19,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_SCRATCH: dict[str, list[str]] = {}
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -37,21 +40,27 @@ def build_session(app_name: str = "logloom", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster must name one.
+    Without the setting it is the checkpoint folder of the context or, if there is none, a folder in
+    the warehouse.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
-    return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this application wrote to the shared folder; results read from it are gone as well."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +74,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, megabytes: int = 64) -> bool:
+    """Whether ``df`` has no more than ``rows`` rows and ``megabytes`` of texts; reads little further."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.sum(reduce(add, texts, F.lit(0).cast("long")))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= megabytes << 20

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_small
 from ..session import at_most, materialize
 
 EXTENSIONS = ("log", "txt", "json")
-MAX_MB = 200
 # One row of five numbers per file split: 2,000,000 splits of 128 MB are 256 TB of text.
 BROADCAST_SPLITS = 2_000_000
 
 
-def file_id(path: Column) -> Column:
-    return F.xxhash64(path)
+def file_id(path: Column, size: Column, modified: Column) -> Column:
+    """A file as it is now: one that grew or was replaced is another file."""
+    return F.xxhash64(path, size, modified.cast("timestamp"))
+
+
+def _scanned_file_id() -> Column:
+    return file_id(*[F.col(f"_metadata.file_{part}") for part in ("path", "size", "modification_time")])
 
 
 def list_source_files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,19 +29,28 @@ def list_source_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("stored_path"),
         F.col("_metadata.file_size").alias("size_bytes"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("uploaded_at"),
-    ).withColumn("id", file_id(F.col("stored_path")))
+        _scanned_file_id().alias("id"),
+    )
 
 
 def admitted(
-    filename: Column, size_bytes: Column, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int = MAX_MB
+    filename: Column, size_bytes: Column, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int | None = None
+) -> Column:
+    """Whether a file may come in: by extension, whatever its case, and by size if there is a limit."""
+    return refusal(filename, size_bytes, extensions, max_mb).isNull()
+
+
+def refusal(
+    filename: Column, size_bytes: Column, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int | None = None
 ) -> Column:
-    """Whether a file may come in: by extension, whatever its case, and by size."""
+    """Why a file may not come in, null if it may."""
     extension = F.when(F.contains(filename, F.lit(".")), F.lower(F.element_at(F.split(filename, r"\."), -1)))
-    return F.coalesce(extension.isin(*extensions), F.lit(False)) & (size_bytes <= max_mb * 1024 * 1024)
+    why = F.when(~F.coalesce(extension.isin(*extensions), F.lit(False)), F.lit("extension not accepted"))
+    return why if max_mb is None else why.when(size_bytes > max_mb * 1024 * 1024, F.lit(f"larger than {max_mb} MB"))
 
 
 def admit_files(
-    files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int = MAX_MB
+    files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Admitted and refused files."""
     ok = admitted(F.col("filename"), F.col("size_bytes"), extensions, max_mb)
@@ -46,12 +58,18 @@ def admit_files(
 
 
 def register_files(files: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """File rows with the tags ``(filename, source, environment, log_type)`` given for them."""
+    """File rows with the tags (source, environment, log_type) given for their ``stored_path``.
+
+    Tags without a column ``stored_path`` go by ``filename``. No file may be tagged twice.
+    """
     columns = ["source", "environment", "log_type"]
     if tags is None:
         tagged = files.withColumns({c: F.lit(None).cast("string") for c in columns})
     else:
-        tagged = files.join(tags.select("filename", *columns), "filename", "left")
+        key = "stored_path" if "stored_path" in tags.columns else "filename"
+        if not tags.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"tags name a {key} more than once")
+        tagged = files.join(tags.select(key, *columns), key, "left")
     return tagged.select(
         "id", "filename", "stored_path", *columns, F.lit("uploaded").alias("status"), "uploaded_at"
     )
@@ -72,8 +90,10 @@ def log_lines(text: DataFrame) -> DataFrame:
         F.col("_metadata.file_name").alias("filename"),
         F.col("_metadata.file_size").alias("size_bytes"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("uploaded_at"),
         F.make_valid_utf8(F.col("value")).alias("raw_line"),
-    ).withColumn("log_file_id", file_id(F.col("stored_path")))
+        _scanned_file_id().alias("log_file_id"),
+    )
 
 
 _SPLIT = ["log_file_id", "block_start"]
@@ -102,20 +122,17 @@ def with_line_number(
 
     Lines keep their order inside a file split, so a line's place is the number of lines in
     the earlier splits of the file plus its distance from the first line of its own split. Should
-    the lines be split differently than they were for ``count_splits``, a line falls outside its
-    split and the job stops.
+    the lines be split differently than they were for ``count_splits``, the job stops at the first
+    line outside its split or in a split that was not counted. ``lines`` must come from a scan without
+    a join or shuffle.
     """
     splits = count_splits(lines) if splits is None else splits
     side = F.broadcast(splits) if at_most(splits, bound) else splits
     numbered = lines.withColumn("_id", F.monotonically_increasing_id())
     place = F.col("_id") - F.col("_first")
-    number = F.when(place.between(0, F.col("_lines") - 1), F.col("_before") + place + 1).otherwise(
+    counted = F.coalesce(place.between(0, F.col("_lines") - 1), F.lit(False))
+    number = F.when(counted, F.col("_before") + place + 1).otherwise(
         F.raise_error(F.lit("the scan was split differently while counting lines")).cast("bigint")
     )
-    joined = numbered.join(side, _SPLIT).withColumn("line_number", number)
+    joined = numbered.join(side, _SPLIT, "left").withColumn("line_number", number)
     return joined.drop("_id", "_first", "_lines", "_before")
-
-
-def lines_of(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines of the given files."""
-    return join_small(lines, files.select(F.col("id").alias("log_file_id")), ["log_file_id"], "left_semi")

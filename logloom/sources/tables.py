@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.filters import utc_now
+from ..operators.filters import naive, utc_now
 
 _SNAPSHOTS = "table_name STRING, folder STRING, published_at TIMESTAMP_NTZ"
 
@@ -95,7 +95,10 @@ def publish(df: DataFrame, root: str, name: str) -> DataFrame:
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The current rows of a table, with its fixed schema."""
     if name == "log_entries":
-        return entries_table(spark, root)
+        # Lines of files that changed since are replaced by those of the later version.
+        replaced = files_history(spark, root).where(F.col("status") == "replaced").select(F.col("id").alias("log_file_id"))
+        every = entries_table(spark, root)
+        return every if replaced.isEmpty() else every.join(replaced.distinct(), "log_file_id", "left_anti").select(every.columns)
     if name == "log_files":
         return current_files(files_history(spark, root))
     if name == "pipeline_runs":
@@ -114,6 +117,7 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def replace_anomalies(old: DataFrame, new: DataFrame, start, end) -> DataFrame:
     """``old`` without the windows that lie within ``start..end``, plus ``new``."""
+    start, end = (b if isinstance(b, Column) else naive(b) for b in (start, end))
     replaced = (F.col("window_start") >= start) & (F.col("window_end") <= end)
     return old.where(~replaced).unionByName(new)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.windows import WINDOW_MINUTES, bucket, finish_windows, window_counts
-from ..plans.ingest import take_in
+from ..plans.ingest import record_refused, take_in
 from ..session import materialize
 from ..sources import logs
 
@@ -19,25 +21,40 @@ def stream_ingest(
     checkpoint: str,
     tags: DataFrame | None = None,
     extensions: tuple[str, ...] = logs.EXTENSIONS,
-    max_mb: int = logs.MAX_MB,
+    max_mb: int | None = None,
     reference_year: int | None = None,
+    max_files: int | None = None,
+    after_batch: Callable[[SparkSession], object] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Ingest files as they arrive; by default whatever is there now, then stop.
 
-    A file comes whole in one batch. A batch that is run again stores no line twice.
+    A file comes whole in one batch, of ``max_files`` files at most. What is known of a file comes with
+    its lines, so the folder is not listed again. A batch that is run again stores no line twice.
+    Refused files are recorded with the reason. ``after_batch`` runs after each batch, an analytics run
+    for example.
+
+    The file source remembers paths: a file that grows after its batch is not read again by the
+    stream. The batch job ``ingest`` on the same store notices it by size and time.
     """
-    lines = logs.log_lines(spark.readStream.option("recursiveFileLookup", "true").text(source))
-    lines = lines.where(logs.admitted(F.col("filename"), F.col("size_bytes"), extensions, max_mb))
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    lines = logs.log_lines(reader.text(source))
+    why = logs.refusal(F.col("filename"), F.col("size_bytes"), extensions, max_mb)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        splits = logs.count_splits(batch)
-        arrived = splits.select(F.col("log_file_id").alias("id")).distinct()
-        listed = logs.list_source_files(session, source).join(arrived, "id", "left_semi")
-        files = materialize(logs.register_files(listed, tags), "arrived")
-        if not splits.isEmpty():
-            take_in(session, files, lambda: batch, root, reference_year, splits)
+        about = ["filename", "stored_path", "size_bytes", "uploaded_at"]
+        arrived = batch.select(F.col("log_file_id").alias("id"), *about).distinct()
+        arrived = materialize(arrived.withColumn("error", why), "arrived")
+        record_refused(session, arrived.where("error IS NOT NULL"), root)
+        accepted = arrived.where("error IS NULL").drop("error")
+        if not accepted.isEmpty():
+            files = materialize(logs.register_files(accepted, tags), "files")
+            take_in(session, files, batch.where(why.isNull()), root, reference_year)
+        if after_batch is not None:
+            after_batch(session)
 
     writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -151,7 +151,7 @@ def test_clusters(spark):
     rows = textcluster.cluster_table(assigned, vocab).collect()
     label = {r["message"]: r["label"] for r in assigned.collect()}
     assert sum(r["count"] for r in rows) == len(TEXTS)
-    assert len({r["label"] for r in rows}) == len(rows) <= textcluster.cluster_count(len(TEXTS))
+    assert len({r["label"] for r in rows}) == len(rows) <= max(2, len(TEXTS) // 5)
     known = {v["term"] for v in vocab}
     for r in rows:
         assert label[r["example_message"]] == r["label"]
@@ -182,7 +182,6 @@ def test_nothing_to_cluster(spark):
 
 @pytest.mark.parametrize("n, k", [(2, 2), (9, 2), (14, 2), (15, 3), (99, 19), (100, 20), (10**9, 20)])
 def test_cluster_count(spark, n, k):
-    assert textcluster.cluster_count(n) == k
     assert spark.range(1).select(textcluster.choose_k(n)).first()[0] == k
 
 

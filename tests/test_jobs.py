@@ -4,19 +4,21 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.operators import joins
 from logloom.operators.filters import query_entries
 from logloom.operators.windows import window_features
 from logloom.plans import analytics
 from logloom.plans import ingest as jobs
-from logloom.sources import tables
+from logloom.sources import logs, tables
 from logloom.streaming.jobs import stream_ingest, stream_window_features
 
 # One line of each family and one that fits none.
-SAMPLE = """2025-12-31T12:15:41Z INFO auth-service User login ok
-2025-12-31 12:15:41,120 ERROR billing Payment failed
-127.0.0.1 - - [31/Dec/2025:12:15:41 +0000] "GET /health HTTP/1.1" 200 15
-{"timestamp": "2025-12-31T12:15:42Z", "level": "WARN", "service": "gateway", "message": "High latency detected"}
-this is a garbage line that should fail parsing
+SAMPLE = """2024-05-06T07:08:09Z WARN tide-gauge sensor drifts
+2024-05-06 07:08:10,500 INFO tide-gauge sensor reset
+05-06 07:08:11.250  411  412 E Buoy: no fix
+192.0.2.7 - pier [06/May/2024:07:08:12 +0000] "PUT /level HTTP/2" 503 0
+{"time": "2024-05-06T07:08:13Z", "severity": "error", "component": "beacon", "body": "lamp out"}
+== rotated ==
 """
 
 
@@ -42,40 +44,115 @@ def test_ingest(spark, place):
     tags = spark.createDataFrame(
         [("sample.txt", "app", "prod", "mixed")], "filename STRING, source STRING, environment STRING, log_type STRING"
     )
-    refused = jobs.ingest(spark, str(source), root, tags)
+    refused = jobs.ingest(spark, str(source), root, tags, reference_year=2024)
     assert [r["filename"] for r in refused.collect()] == ["tool.exe"]
 
     state = files(spark, root)["sample.txt"]
     assert (state["status"], state["source"], state["log_type"]) == ("processed", "app", "mixed")
-    assert (state["total_lines"], state["parsed_lines"], state["failed_lines"]) == (5, 4, 1)
+    assert (state["total_lines"], state["parsed_lines"], state["failed_lines"]) == (6, 5, 1)
     assert state["processed_at"] is not None and state["error"] is None
 
     rows = entries(spark, root).orderBy("line_number").collect()
-    assert [r["parser_name"] for r in rows] == ["app_v1", "app_v1", "access_v1", "json_v1", None]
-    assert [r["parse_confidence"] for r in rows] == [0.95, 0.95, 0.85, 0.95, 0.0]
+    assert [r["parser_name"] for r in rows] == ["app_v1", "app_v1", "android_v1", "access_v1", "json_v1", None]
+    assert [r["parse_confidence"] for r in rows] == [0.95, 0.95, 0.9, 0.85, 0.95, 0.0]
     assert [r["raw_line"] for r in rows] == SAMPLE.splitlines()
-    assert [r["line_number"] for r in rows] == [1, 2, 3, 4, 5]
-    assert {str(r["event_date"]) for r in rows} == {"2025-12-31", "None"}
+    assert [r["line_number"] for r in rows] == [1, 2, 3, 4, 5, 6]
+    assert {str(r["event_date"]) for r in rows} == {"2024-05-06", "None"}
     known = tables.load(spark, root, "log_files")
-    assert query_entries(entries(spark, root), known, source="app", level="error").count() == 1
+    assert query_entries(entries(spark, root), known, source="app", level="error").count() == 2
 
 
 def test_ingest_again_takes_only_what_is_new(spark, place):
     source, root = place
     jobs.ingest(spark, str(source), root)
     jobs.ingest(spark, str(source), root)
-    assert entries(spark, root).count() == 5
+    assert entries(spark, root).count() == 6
     (source / "more.log").write_text("one\ntwo\n")
     jobs.ingest(spark, str(source), root)
-    assert entries(spark, root).count() == 7
+    assert entries(spark, root).count() == 8
     assert files(spark, root)["more.log"]["failed_lines"] == 2
 
 
-def test_many_files_are_read_without_naming_them(spark, place, monkeypatch):
+def test_many_files_are_taken_in_several_ingests(spark, place, monkeypatch):
+    source, root = place
+    (source / "more.log").write_text("one\ntwo\n")
+    monkeypatch.setattr(jobs, "NAMED_PATHS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    jobs.ingest(spark, str(source), root)
+    assert entries(spark, root).count() == 8
+    assert entries(spark, root).select("ingest_id").distinct().count() == 2
+
+
+def test_a_changed_file_replaces_its_old_lines(spark, place):
     source, root = place
-    monkeypatch.setattr(jobs, "NAMED_PATHS", 0)
     jobs.ingest(spark, str(source), root)
-    assert entries(spark, root).count() == 5
+    (source / "sample.txt").write_text(SAMPLE + "one more\n")
+    jobs.ingest(spark, str(source), root)
+    rows = entries(spark, root).orderBy("line_number").collect()
+    assert [r["raw_line"] for r in rows] == [*SAMPLE.splitlines(), "one more"]
+    states = tables.load(spark, root, "log_files").where("filename = 'sample.txt'").collect()
+    assert sorted(r["status"] for r in states) == ["processed", "replaced"]
+
+
+def test_files_of_one_name_have_their_own_tags(spark, tmp_path):
+    for place in ("a", "b"):
+        (tmp_path / "in" / place).mkdir(parents=True)
+        (tmp_path / "in" / place / "app.log").write_text(f"from {place}\n")
+    listed = logs.list_source_files(spark, str(tmp_path / "in"))
+    tags = listed.select(
+        "stored_path",
+        F.regexp_extract("stored_path", "in/(.)/", 1).alias("source"),
+        F.lit("prod").alias("environment"),
+        F.lit("x").alias("log_type"),
+    )
+    root = str(tmp_path / "store")
+    jobs.ingest(spark, str(tmp_path / "in"), root, tags)
+    known = tables.load(spark, root, "log_files")
+    assert query_entries(entries(spark, root), known, source="a").first()["raw_line"] == "from a"
+    twice = tags.select(F.lit("app.log").alias("filename"), "source", "environment", "log_type")
+    with pytest.raises(ValueError):
+        logs.register_files(listed, twice)
+
+
+def test_one_unreadable_file_does_not_stop_the_others(spark, place, monkeypatch):
+    source, root = place
+    for name in ("a.log", "bad.log", "c.log"):
+        (source / name).write_text("x\n")
+    real = logs.read_logs
+
+    def read(session, paths, **options):
+        fail = F.raise_error(F.lit("FAILED_READ_FILE")).cast("string")
+        broken = F.when(F.col("filename") == "bad.log", fail).otherwise(F.col("raw_line"))
+        return real(session, paths, **options).withColumn("raw_line", broken)
+
+    monkeypatch.setattr(logs, "read_logs", read)
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        jobs.ingest(spark, str(source), root)
+    assert {n: r["status"] for n, r in files(spark, root).items()} == {
+        "sample.txt": "processed",
+        "a.log": "processed",
+        "bad.log": "failed",
+        "c.log": "processed",
+        "tool.exe": "refused",
+    }
+    assert entries(spark, root).count() == 8
+    monkeypatch.setattr(logs, "read_logs", real)
+    jobs.ingest(spark, str(source), root)
+    assert entries(spark, root).count() == 9
+
+
+def test_refused_files_are_recorded_once(spark, place, tmp_path):
+    source, root = place
+    (source / "big.log").write_text("x" * 3_000_000)
+    for _ in range(2):
+        jobs.ingest(spark, str(source), root, max_mb=2)
+    history = tables.files_history(spark, root).where("status = 'refused'").collect()
+    why = {"tool.exe": "extension not accepted", "big.log": "larger than 2 MB"}
+    assert {r["filename"]: r["error"] for r in history} == why and len(history) == 2
+    other = str(tmp_path / "other")
+    stream_ingest(spark, str(source), other, str(tmp_path / "progress"), max_mb=2).awaitTermination()
+    state = {n: r["status"] for n, r in files(spark, other).items()}
+    assert state == {"sample.txt": "processed", "tool.exe": "refused", "big.log": "refused"}
 
 
 def test_a_broken_ingest_is_recorded_and_taken_up_again(spark, place, monkeypatch):
@@ -90,11 +167,11 @@ def test_a_broken_ingest_is_recorded_and_taken_up_again(spark, place, monkeypatc
         jobs.ingest(spark, str(source), root)
     state = files(spark, root)["sample.txt"]
     assert (state["status"], state["error"]) == ("failed", "disk gone")
-    assert entries(spark, root).count() == 5
+    assert entries(spark, root).count() == 6
 
     monkeypatch.setattr(jobs, "finish_files", real)
     jobs.ingest(spark, str(source), root)
-    assert entries(spark, root).count() == 5
+    assert entries(spark, root).count() == 6
     assert files(spark, root)["sample.txt"]["status"] == "processed"
 
 
@@ -126,18 +203,18 @@ def test_stream_ingest_in_steps(spark, place, tmp_path):
     source, root = place
     progress = str(tmp_path / "progress")
     stream_ingest(spark, str(source), root, progress).awaitTermination()
-    assert entries(spark, root).count() == 5
+    assert entries(spark, root).count() == 6
     (source / "later.json").write_text('{"level": "info"}\n\n')
     stream_ingest(spark, str(source), root, progress).awaitTermination()
     stored = entries(spark, root).select("log_file_id", "line_number")
-    assert stored.count() == stored.distinct().count() == 7
+    assert stored.count() == stored.distinct().count() == 8
     state = files(spark, root)
-    assert set(state) == {"sample.txt", "later.json"}
+    assert set(state) == {"sample.txt", "later.json", "tool.exe"}
     assert (state["later.json"]["total_lines"], state["later.json"]["failed_lines"]) == (2, 1)
 
     # A lost checkpoint makes every file arrive again.
     stream_ingest(spark, str(source), root, str(tmp_path / "other")).awaitTermination()
-    assert entries(spark, root).count() == 7
+    assert entries(spark, root).count() == 8
 
 
 def test_a_broken_stream_batch_is_recorded_and_taken_up_again(spark, place, tmp_path, monkeypatch):
@@ -153,7 +230,7 @@ def test_a_broken_stream_batch_is_recorded_and_taken_up_again(spark, place, tmp_
     assert files(spark, root)["sample.txt"]["status"] == "failed"
     monkeypatch.setattr(jobs, "finish_files", real)
     stream_ingest(spark, str(source), root, str(tmp_path / "progress")).awaitTermination()
-    assert entries(spark, root).count() == 5
+    assert entries(spark, root).count() == 6
     assert files(spark, root)["sample.txt"]["status"] == "processed"
 
 

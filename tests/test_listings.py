@@ -7,7 +7,7 @@ from logloom.sources import tables
 
 
 def test_entries(seeded, seeded_files):
-    page = listings.log_entries(seeded, seeded_files, 0, 3, source="unit-test")
+    page = listings.log_entries(seeded, seeded_files, 0, 3, source="nightly")
     assert (page.total, page.offset, page.limit, page.items.count()) == (10, 0, 3, 3)
     assert "parse_error" not in page.items.columns
     last = listings.log_entries(seeded, offset=8, limit=5)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -44,3 +46,17 @@ def test_tokens(spark):
     assert row["all"] == ["the", "café", "user_1", "can", "open", "var", "log", "42", "über"]
     assert row["kept"] == ["café", "user_1", "open", "var", "log", "42", "über"]
     assert "for" in english_stop_words()
+
+
+@pytest.mark.parametrize("rank", range(9))
+def test_ranks_among_infinite_values(spark, rank):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -1e308, 0.5, 0.5, 1e308, inf, inf, nan, nan]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v DOUBLE").repartition(3)
+    value, before = value_at_rank(df, "v", rank)
+    same = [i for i, v in enumerate(values) if v == value or (math.isnan(v) and math.isnan(value))]
+    assert rank in same and before == same[0]
+
+
+def test_percentile_without_values(spark):
+    assert percentile(spark.createDataFrame([(None,)], "v DOUBLE"), "v", 0.5) is None

@@ -66,9 +66,10 @@ def test_listing_and_admission(spark, folder):
 
 def test_size_cap(spark):
     sizes = spark.createDataFrame([("a.log", 200 * 1024 * 1024), ("b.log", 200 * 1024 * 1024 + 1)], "filename STRING, size_bytes BIGINT")
-    accepted, refused = logs.admit_files(sizes)
+    accepted, refused = logs.admit_files(sizes, max_mb=200)
     assert [r["filename"] for r in accepted.collect()] == ["a.log"]
     assert [r["filename"] for r in refused.collect()] == ["b.log"]
+    assert logs.admit_files(sizes)[1].isEmpty()
 
 
 def test_listing_reads_no_content(spark, folder):
@@ -91,3 +92,16 @@ def test_lines_split_otherwise_stop_the_job(spark, tmp_path):
     splits = logs.count_splits(lines).withColumn("_lines", F.lit(50).cast("bigint"))
     with pytest.raises(Exception, match="split differently"):
         logs.with_line_number(lines, splits).collect()
+
+
+def test_a_split_that_was_not_counted_stops_the_job(spark, tmp_path):
+    write(tmp_path, "a.log", b"some line\n" * 4000)
+    lines = logs.read_logs(spark, str(tmp_path))
+    splits = logs.count_splits(lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        with pytest.raises(Exception, match="split differently"):
+            logs.with_line_number(logs.read_logs(spark, str(tmp_path)), splits).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
