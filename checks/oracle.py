@@ -181,6 +181,12 @@ def _corpus(key: str, table: str) -> str:
 
 ORACLE: dict[str, str] = {
     "scan_raw": _with(["raw_logs"], "SELECT event_id // 5000 AS chunk, raw_line FROM raw_logs"),
+    "refused_files": _with(
+        ["raw_logs"],
+        """
+SELECT DISTINCT origin, event_id // 5000 AS chunk, 'refused' AS status, 'larger than 0 MB' AS error
+FROM raw_logs, (VALUES ('batch'), ('stream')) o(origin)""",
+    ),
     "line_numbers": _with(
         ["raw_logs"], "SELECT event_id // 5000 AS chunk, event_id % 5000 + 1 AS line_number, raw_line FROM raw_logs"
     ),

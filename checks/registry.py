@@ -121,6 +121,21 @@ def log_files(spark, sf_dir):
     return project(logs.register_files(found, tags), "log_files")
 
 
+@query
+def refused_files(spark, sf_dir):
+    """Every file is too large: the batch job and the stream record why."""
+    source, found = write_log_files(spark, sf_dir), []
+    for origin in ("batch", "stream"):
+        root = scratch_path(spark, "store")
+        if origin == "batch":
+            ingest(spark, source, root, max_mb=0)
+        else:
+            jobs.stream_ingest(spark, source, root, scratch_path(spark, "progress"), max_mb=0).awaitTermination()
+        files_known = tables.load(spark, root, "log_files")
+        found.append(files_known.select(F.lit(origin).alias("origin"), chunk_of(F.col("stored_path")), "status", "error"))
+    return found[0].unionByName(found[1])
+
+
 @query
 def idempotent_new_rows(spark, sf_dir):
     arrived = entries(spark, sf_dir)

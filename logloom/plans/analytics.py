@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.filters import default_range, error_messages, utc_now
-from ..operators.iforest import describe_window, fit_score_iforest, flag_anomalies
-from ..operators.textcluster import assign_clusters, cluster_table
+from ..operators.iforest import CONTAMINATION, TREES, describe_window, fit_score_iforest, flag_anomalies
+from ..operators.textcluster import RESTARTS, assign_clusters, cluster_table
 from ..operators.windows import WINDOW_MINUTES, window_features
 from ..sources import tables
 
 
-def anomaly_rows(scored: DataFrame, run_id: str | None = None, created_at: datetime | None = None) -> DataFrame:
+def anomaly_rows(
+    scored: DataFrame,
+    run_id: str | None = None,
+    created_at: datetime | None = None,
+    contamination: float = CONTAMINATION,
+) -> DataFrame:
     """The flagged windows as rows of the anomaly table."""
-    flagged = flag_anomalies(scored)
+    flagged = flag_anomalies(scored, contamination)
     return flagged.select(
         "window_start",
         "window_end",
@@ -48,21 +53,28 @@ def cluster_rows(
     )
 
 
-def detect(spark: SparkSession, root: str, features: DataFrame, run_id: str) -> int:
+def detect(
+    spark: SparkSession,
+    root: str,
+    features: DataFrame,
+    run_id: str,
+    trees: int = TREES,
+    contamination: float = CONTAMINATION,
+) -> int:
     """Replace the anomalies in the range of the features; too few windows leave them as they are."""
-    scored = fit_score_iforest(features)
+    scored = fit_score_iforest(features, trees)
     ends = scored.agg(F.min("window_start").alias("first"), F.max("window_end").alias("last")).first()
     if ends["first"] is None:
         return 0
-    new = anomaly_rows(scored, run_id, utc_now())
+    new = anomaly_rows(scored, run_id, utc_now(), contamination)
     old = tables.load(spark, root, "anomalies")
     kept = tables.replace_anomalies(old, new, ends["first"], ends["last"])
     return tables.publish(kept, root, "anomalies").where(F.col("pipeline_run_id") == run_id).count()
 
 
-def cluster(root: str, messages: DataFrame, run_id: str) -> int:
+def cluster(root: str, messages: DataFrame, run_id: str, **options) -> int:
     """Replace all clusters; too few messages or no usable term leave them as they are."""
-    rows = cluster_rows(messages, run_id, utc_now())
+    rows = cluster_rows(messages, run_id, utc_now(), **options)
     return 0 if rows is None else tables.replace_clusters(rows, root).count()
 
 
@@ -94,10 +106,16 @@ def run_analytics(
     start: datetime | None = None,
     end: datetime | None = None,
     minutes: int = WINDOW_MINUTES,
+    error_levels: tuple[str, ...] = ("ERROR",),
+    stop_words: list[str] | None = None,
+    trees: int = TREES,
+    contamination: float = CONTAMINATION,
+    restarts: int = RESTARTS,
 ) -> DataFrame:
     """One run over a time range, the last 24 hours by default; its record comes back.
 
-    A failure is recorded, not raised.
+    ``trees`` and ``contamination`` go to the forest, ``error_levels``, ``stop_words`` and ``restarts``
+    to the clusters. A failure is recorded, not raised.
     """
     run_id, started_at = uuid.uuid4().hex, utc_now()
     run = (spark, root, run_id, trigger, started_at)
@@ -105,8 +123,9 @@ def run_analytics(
     try:
         start, end = default_range(start, end, started_at)
         entries = tables.load(spark, root, "log_entries") if entries is None else entries
-        anomalies = detect(spark, root, window_features(entries, start, end, minutes), run_id)
-        clusters = cluster(root, error_messages(entries, start, end), run_id)
+        anomalies = detect(spark, root, window_features(entries, start, end, minutes), run_id, trees, contamination)
+        messages = error_messages(entries, start, end, error_levels)
+        clusters = cluster(root, messages, run_id, stop_words=stop_words, restarts=restarts)
     except Exception as error:
         return record_run(*run, "failed", error=str(error))
     return record_run(*run, "completed", anomalies, clusters)
