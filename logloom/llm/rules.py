@@ -122,10 +122,11 @@ def fit(
     rules = list(dict.fromkeys(rule for tree in forest.trees for rule in paths(tree, names)))
     if not rules:
         return Ensemble(math.log(good / bad), [])
+    # Few combinations of rules occur, so the many passes of the fit go over these with their counts.
     fired = stated.select("label", F.array(*[condition(r).cast("double") for r in rules]).alias("fired"))
-    fired = materialize(fired, "fired").select("label", array_to_vector("fired").alias("x"))
+    fired = materialize(fired.groupBy("label", "fired").agg(F.count("*").cast("double").alias("n")), "fired")
     lasso = LogisticRegression(
-        featuresCol="x", labelCol="label", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=200
-    ).fit(fired)
+        featuresCol="x", labelCol="label", weightCol="n", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=100
+    ).fit(fired.select("label", "n", array_to_vector("fired").alias("x")).coalesce(1))
     weights = lasso.coefficients.toArray().tolist()
     return Ensemble(float(lasso.intercept), [(w, r) for w, r in zip(weights, rules) if abs(w) > 1e-9])
