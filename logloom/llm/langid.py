@@ -14,6 +14,7 @@ was learned. The model holds languages times pieces numbers.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -32,7 +33,7 @@ PER_LANGUAGE = 2_000  # training documents drawn by hash for each language
 ROUNDS = 3
 SMOOTHING = 0.1  # added to every expected count
 LONGEST = 24
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000  # tokens that a Python worker remembers
 BEGIN = "▁"
 UNKNOWN = 1
 
@@ -58,54 +59,89 @@ def units(token: str) -> list[str]:
     return out
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Pieces:
-    """Finds the pieces at all places of many words of one length."""
+    """Finds the pieces at all places of many words of one length, by hash.
+
+    Two tables, the second for the pieces whose place in the first is taken; each entry holds the
+    whole 64-bit hash, so other strings are told apart.
+    """
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 18
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i for i, p in enumerate(pieces) if i > UNKNOWN}
-        self.longest = max(map(len, self.number), default=1)
-
-    def between(self, words: list[str], i: int, j: int) -> np.ndarray | None:
-        get = self.number.get
-        found = [get(w[i:j], 0) for w in words]
-        if j == i + 1:
-            found = [f or UNKNOWN for f in found]
-        elif not any(found):
-            return None
-        return np.array(found, np.int64)
+        found = [(self._hash(p), i) for i, p in enumerate(pieces) if i > UNKNOWN]
+        self.longest = max((len(p) for p in pieces[UNKNOWN + 1 :]), default=1)
+        self.tables = []
+        while found:
+            keys, values, late = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int64), []
+            slots = self._slots(np.array([h for h, _ in found], np.uint64), len(self.tables))
+            for slot, (h, i) in zip(slots.tolist(), found):
+                if values[slot]:
+                    late.append((h, i))
+                else:
+                    keys[slot], values[slot] = h, i
+            self.tables.append((keys, values))
+            found = late
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c)) % (1 << 64)
+        return h
+
+    def _slots(self, hashes: np.ndarray, level: int) -> np.ndarray:
+        return (_spread(hashes + np.uint64(level)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        ids = np.zeros(hashes.shape, np.int64)
+        for level, (keys, values) in enumerate(self.tables):
+            slots = self._slots(hashes, level)
+            ids = np.where(keys[slots] == hashes, values[slots], ids)
+        return ids
+
+    def ends(self, words: list[str]):
+        """For every end j the first begin, and the pieces (word, begin) from there on to j; 0 is none."""
+        n = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), n).astype(np.uint64)
+        hashes = np.zeros((len(words), n), np.uint64)
+        for j in range(1, n + 1):
+            low = max(0, j - self.longest)
+            hashes[:, low:j] = hashes[:, low:j] * self.BASE + codes[:, j - 1 : j]
+            ids = self.lookup(hashes[:, low:j])
+            ids[:, -1] = np.where(ids[:, -1] == 0, UNKNOWN, ids[:, -1])
+            yield j, low, ids
 
     def forward(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
         """Sum over all segmentations, (word, language); ``probabilities`` is (piece, language)."""
         n = len(words[0])
-        alpha = np.zeros((n + 1, len(words), probabilities.shape[1]))
-        alpha[0] = 1
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                found = self.between(words, i, j)
-                if found is not None:
-                    alpha[j] += alpha[i] * probabilities[found]
-        return alpha[n]
+        alpha = np.zeros((len(words), n + 1, probabilities.shape[1]))
+        alpha[:, 0] = 1
+        for j, low, ids in self.ends(words):
+            alpha[:, j] = (alpha[:, low:j] * probabilities[ids]).sum(1)
+        return alpha[:, n]
 
     def expected(self, words: list[str], counts: np.ndarray, languages: np.ndarray, probabilities: np.ndarray) -> dict:
         """{(language, piece): expected count} of words of one length, each of one language."""
         n, places = len(words[0]), []
-        alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
-        alpha[0] = beta[n] = 1
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                found = self.between(words, i, j)
-                if found is not None:
-                    p = probabilities[found, languages]
-                    alpha[j] += alpha[i] * p
-                    places.append((i, j, found, p))
-        for i, j, _, p in reversed(places):
-            beta[i] += beta[j] * p
-        scale = counts / np.maximum(alpha[n], 1e-300)
+        alpha, beta = np.zeros((len(words), n + 1)), np.zeros((len(words), n + 1))
+        alpha[:, 0] = beta[:, n] = 1
+        for j, low, ids in self.ends(words):
+            p = probabilities[ids, languages[:, None]]
+            alpha[:, j] = (alpha[:, low:j] * p).sum(1)
+            places.append((j, low, ids, p))
+        for j, low, _, p in reversed(places):
+            beta[:, low:j] += beta[:, j : j + 1] * p
+        scale = counts / np.maximum(alpha[:, n], 1e-300)
         size, total = len(probabilities), defaultdict(float)
-        for i, j, found, p in places:
-            mass = alpha[i] * p * beta[j] * scale
-            used = np.flatnonzero(mass > 0)
-            keys, where = np.unique(languages[used] * size + found[used], return_inverse=True)
+        for j, low, ids, p in places:
+            mass = alpha[:, low:j] * p * (beta[:, j] * scale)[:, None]
+            used = mass > 0
+            keys, where = np.unique((languages[:, None] * size + ids)[used], return_inverse=True)
             for key, m in zip(keys.tolist(), np.bincount(where, mass[used]).tolist()):
                 total[key // size, key % size] += m
         return total
@@ -128,25 +164,80 @@ def by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
 
 class Model:
     def __init__(self, languages: list[str], pieces: list[str]):
-        self.languages, self.pieces = languages, pieces
+        self.languages, self.pieces, self.key = languages, pieces, uuid.uuid4().hex
         self.probabilities = np.full((len(pieces), max(1, len(languages))), 1 / len(pieces))
         self.probabilities[0] = 0
 
-    def log_words(self, finder: Pieces, tokens: list[str]) -> np.ndarray:
-        """Log probability of every token in every language, and in the last column its words."""
-        words, owner = [], []
-        for i, token in enumerate(tokens):
-            for unit in units(token):
-                words.append(unit)
-                owner.append(i)
-        out = np.zeros((len(tokens), len(self.languages) + 1))
+    def log_units(self, finder: Pieces, words: list[str]) -> np.ndarray:
+        """Log probability of every unit in every language."""
+        logs = np.empty((len(words), len(self.languages)))
+        for rows, part in by_length(words):
+            logs[rows] = np.log(np.maximum(finder.forward(part, self.probabilities), 1e-300))
+        return logs
+
+
+class Scores:
+    """Remembered log probabilities, of units and of the tokens made up of them.
+
+    One per Python worker and model, so that they last from task to task.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.finder = model, _finder(tuple(model.pieces))
+        self.clear()
+
+    def clear(self) -> None:
+        width = len(self.model.languages)
+        self.unit_rows: dict[str, int] = {}
+        self.unit_logs = np.zeros((1 << 15, width))
+        self.token_rows: dict[str, int] = {}
+        self.token_logs = np.zeros((1 << 15, width + 1))  # the last column counts the units
+
+    def _learn_units(self, words: list[str]) -> None:
+        fresh = [w for w in dict.fromkeys(words) if w not in self.unit_rows]
+        size = len(self.unit_rows)
+        self.unit_logs = _roomy(self.unit_logs, size + len(fresh))
+        self.unit_logs[size : size + len(fresh)] = self.model.log_units(self.finder, fresh) if fresh else 0
+        self.unit_rows.update(zip(fresh, range(size, size + len(fresh))))
+
+    def learn(self, tokens: set[str]) -> None:
+        missing = [t for t in tokens if t not in self.token_rows]
+        if len(self.token_rows) + len(missing) > CACHED_WORDS:
+            self.clear()
+            missing = list(tokens)
+        split = [units(t) for t in missing]
+        words = [w for ws in split for w in ws]
+        self._learn_units(words)
+        owner = np.repeat(np.arange(len(missing)), [len(ws) for ws in split])
+        logs = np.zeros((len(missing), self.token_logs.shape[1]))
         if words:
-            logs = np.empty((len(words), len(self.languages)))
-            for rows, part in by_length(words):
-                logs[rows] = np.log(np.maximum(finder.forward(part, self.probabilities), 1e-300))
-            np.add.at(out[:, :-1], owner, logs)
-            np.add.at(out[:, -1], owner, 1)
-        return out
+            found = self.unit_logs[[self.unit_rows[w] for w in words]]
+            for column in range(found.shape[1]):
+                logs[:, column] = np.bincount(owner, found[:, column], len(missing))
+            logs[:, -1] = np.bincount(owner, minlength=len(missing))
+        size = len(self.token_rows)
+        self.token_logs = _roomy(self.token_logs, size + len(missing))
+        self.token_logs[size : size + len(missing)] = logs
+        self.token_rows.update(zip(missing, range(size, size + len(missing))))
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return self.token_logs[np.fromiter(map(self.token_rows.__getitem__, tokens), np.int64, len(tokens))].sum(0)
+
+
+def _roomy(rows: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(rows):
+        return rows
+    return np.concatenate([rows, np.zeros((max(n, 2 * len(rows)) - len(rows), rows.shape[1]))])
+
+
+_SCORES: dict[str, Scores] = {}
+
+
+def _scores(model: Model) -> Scores:
+    if model.key not in _SCORES:
+        _SCORES.clear()
+        _SCORES[model.key] = Scores(model)
+    return _SCORES[model.key]
 
 
 def fit(docs: DataFrame, pieces: list[str], folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
@@ -196,26 +287,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = given.value
-        finder, names = _finder(tuple(m.pieces)), [*m.languages]
-        number: dict[str, int] = {}
-        rows = np.zeros((1 << 16, len(names) + 1))
+        scores = _scores(given.value)
+        names = given.value.languages
         for batch in batches:
             lang, score = [], []
             texts = [t if isinstance(t, str) else "" for t in batch]
             for a, b in chunked(texts, 1 << 20):
                 tokens = [t.lower().split() for t in texts[a:b]]
-                wanted = set().union(*tokens)
-                missing = [t for t in wanted if t not in number]
-                if len(number) + len(missing) > CACHED_WORDS:
-                    number, missing = {}, list(wanted)
-                size = len(number)
-                if size + len(missing) > len(rows):
-                    rows = np.concatenate([rows, np.zeros((size + len(missing), rows.shape[1]))])
-                rows[size : size + len(missing)] = m.log_words(finder, missing)
-                number.update(zip(missing, range(size, size + len(missing))))
+                scores.learn(set().union(*tokens))
                 for words in tokens:
-                    total = rows[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].sum(0)
+                    total = scores.of(words)
                     if not names or not total[-1]:
                         lang.append("und")
                         score.append(0.0)
