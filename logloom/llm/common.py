@@ -13,13 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_REMEMBERED: dict = {}
+TEXTS_PER_BATCH = 1_000
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package's code to the Python workers, once per application.
 
-    They then import it, so that what a worker has learned (word caches) lasts from task to task.
+    They then import it, so that what a worker has learned (word caches) lasts from task to task. As
+    rows are whole texts, they go to the workers in smaller batches than usual.
     """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= TEXTS_PER_BATCH:
+        spark.conf.set(size, TEXTS_PER_BATCH)
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
@@ -31,6 +37,17 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(application)
 
 
+def remembered(key, make):
+    """What ``make`` gave for ``key``, kept by a Python worker from task to task.
+
+    Only the latest is kept, so that the caches of one stage don't take memory from the next.
+    """
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

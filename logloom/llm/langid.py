@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from logloom.session import materialize
 
-from .common import chunked, drawn, fold, ship
+from .common import chunked, drawn, fold, remembered, ship
 
 PER_LANGUAGE = 2_000  # training documents drawn by hash for each language
 ROUNDS = 3
@@ -230,16 +230,6 @@ def _roomy(rows: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([rows, np.zeros((max(n, 2 * len(rows)) - len(rows), rows.shape[1]))])
 
 
-_SCORES: dict[str, Scores] = {}
-
-
-def _scores(model: Model) -> Scores:
-    if model.key not in _SCORES:
-        _SCORES.clear()
-        _SCORES[model.key] = Scores(model)
-    return _SCORES[model.key]
-
-
 def fit(docs: DataFrame, pieces: list[str], folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Learns from about ``per_language`` documents of each language outside the held-out fold."""
     spark = docs.sparkSession
@@ -287,8 +277,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scores = _scores(given.value)
-        names = given.value.languages
+        model = given.value
+        scores, names = remembered(("languages", model.key), lambda: Scores(model)), model.languages
         for batch in batches:
             lang, score = [], []
             texts = [t if isinstance(t, str) else "" for t in batch]

@@ -28,11 +28,11 @@ from pyspark.sql import types as T
 
 from logloom.session import materialize
 
-from .common import ship
+from .common import remembered, ship
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 800_000  # words whose ids a Python worker remembers
+CACHED_WORDS = 500_000  # words whose ids a Python worker remembers, and parts of words
 RANK_GROUP = 8_192  # pieces of one length that are ranked together
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     with open(tokenizer, encoding="utf-8") as file:
         text = file.read()
     json.loads(text)
-    source = spark.sparkContext.broadcast(text)
+    source, checksum = spark.sparkContext.broadcast(text), zlib.crc32(text.encode())
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        ids_of = _word_ids(source)
+        ids_of = remembered(("tokenizer", checksum), lambda: WordIds(source.value))
         for batch in batches:
             doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             rows = []
@@ -146,19 +146,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return docs.select("doc_id", "text").mapInPandas(cut, schema)
 
 
-_TOKENIZERS: dict[int, WordIds] = {}
-
-
-def _word_ids(source) -> WordIds:
-    """One per Python worker and tokenizer, so that the words stay known from task to task."""
-    text = source.value
-    key = zlib.crc32(text.encode())
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordIds(text)
-    return _TOKENIZERS[key]
-
-
 # Solving the instance
 
 

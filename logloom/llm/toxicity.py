@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from logloom.session import materialize
 
-from .common import chunked, labelled_ids, ship
+from .common import chunked, labelled_ids, remembered, ship
 
 PER_CLASS = 4_000  # labelled documents to learn from, each of toxic and clean
 POSITIVE_WORDS, NEGATIVE_WORDS = 300, 10_000
@@ -260,23 +260,12 @@ def worst(words: set[str], margin_of_word, lowest: float) -> list[float]:
     return found + [lowest] * (POOLED - len(found))
 
 
-_KNOWN: dict[str, dict[str, float]] = {}
-
-
-def _known(machine: Machine) -> dict[str, float]:
-    """Margins of words, remembered by a Python worker from task to task for one machine."""
-    if machine.key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[machine.key] = {}
-    return _KNOWN[machine.key]
-
-
 def margins_of(machine) -> Column:
     """A function of a text column: the largest margins of its words."""
 
     @F.pandas_udf("array<double>")
     def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _known(machine.value)
+        known: dict[str, float] = remembered(("margins", machine.value.key), dict)
         for batch in batches:
             texts, out = [t if isinstance(t, str) else "" for t in batch], []
             for a, b in chunked(texts, 1 << 20):
