@@ -124,9 +124,8 @@ def retire(spark: SparkSession, files: DataFrame, root: str, ingest_id: str) ->
     known = tables.load(spark, root, "log_files").where(F.col("status") == "processed")
     now = files.select("stored_path", F.col("id").alias("_new"))
     old = known.join(now, "stored_path").where(F.col("id") != F.col("_new")).drop("_new")
-    old = materialize(old, "replaced")
     if not old.isEmpty():
-        record_state(old, root, ingest_id, "replaced")
+        record_state(materialize(old, "replaced"), root, ingest_id, "replaced")
 
 
 def unreadable(error: Exception) -> bool:
@@ -152,8 +151,9 @@ def take_in_paths(spark: SparkSession, files: DataFrame, paths: list[str], root:
 def record_refused(spark: SparkSession, refused: DataFrame, root: str) -> None:
     """Record refused files with the reason, each version once. ``refused`` has a column ``error``."""
     known = tables.files_history(spark, root).where(F.col("status") == "refused").select("id")
-    fresh = materialize(refused.join(known, "id", "left_anti"), "refused")
+    fresh = refused.join(known, "id", "left_anti")
     if not fresh.isEmpty():
+        fresh = materialize(fresh, "refused")
         record_state(logs.register_files(fresh).join(fresh.select("id", F.col("error").alias("_why")), "id"), root, uuid.uuid4().hex, "refused")
 
 
