@@ -8,9 +8,13 @@ come from a count-mean-min sketch of fixed size, whose expected noise is taken o
 
 Every distinct text draws ``BANDS * ROWS`` consistent samples: two texts agree in one with a
 probability equal to their weighted Jaccard similarity. Texts that agree in all rows of a band meet in
-a bucket. There each is compared with the bucket's hub, which is another text in every band, by the
-exact weighted Jaccard similarity; so a bucket of n texts costs n comparisons, not n squared. Linked
-texts form a class by connected components.
+a bucket. There each is first compared with the bucket's hub, which is another text in every band, by
+the exact weighted Jaccard similarity. Linked texts form a class by connected components; a bucket
+within one class is done, which spares the pairs of a group of copies. For the texts of all other
+buckets (a shared template brings texts together that are not similar) an exact prefix filter finds
+every pair that can be similar: of two similar texts the rarest shingle they share is among the rarest
+of each. The texts of such a shingle are compared with a hub again, and then all pairs of different
+classes. So every similar pair that meets in a bucket ends in one class.
 
 Equal texts are always one class, and so are texts that differ only in case and white space. Null texts
 count as empty; all texts without a word are one class. Repeated rows are classed like their first. A null
@@ -255,7 +259,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS, words
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of texts that share a bucket: every member with the bucket's hub.
+    """Pairs (a, b), a < b, of texts that share a bucket: every member with the bucket's hub, to begin with.
 
     The hub has the smallest id after an exclusive or with the bucket's key: another text each time.
     """
@@ -322,6 +326,101 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _distinct_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar; ``found`` holds the features of their texts."""
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return (
+        pairs.join(found.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a")
+        .join(found.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
+        .where(similar("fa", "fb") >= similarity)
+        .select("a", "b")
+    )
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after the classes that ``edges`` (a, b) link have become one."""
+    roots = [labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"]
+    between = edges.join(roots[0], "a").join(roots[1], "b").where("root_a != root_b")
+    between = materialize(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    if between.isEmpty():
+        return labels
+    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("into"))
+    return materialize(labels.join(merged, "root", "left").select("node", F.coalesce("into", "root").alias("root")), "labels")
+
+
+def unsettled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of buckets that hold texts of several classes."""
+    members = nodes.join(labels, "node").select("node", "root", F.explode("bands").alias("key"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return members.join(mixed.select("key"), "key").select("node").distinct()
+
+
+def prefixes(found: DataFrame, idf, similarity: float) -> DataFrame:
+    """(node, token, size, lead): the rarest shingles of each text, and the text's weight.
+
+    With shingles in one order for all texts, the first that two similar texts x, y share has at most
+    (1 - s) of a text's weight before it in either, and at most (1 - s) / (1 + s) in the lighter one:
+    what they share weighs s / (1 + s) (|x| + |y|) or more. Shingles within the second bound are ``lead``.
+    """
+    schema = "node long, token long, size double, lead boolean"
+
+    def cut(batches):
+        for batch in batches:
+            out, held = [], 0
+            for node, blob in zip(batch["node"].tolist(), batch["features"]):
+                n = len(blob) // 12
+                s, w = np.frombuffer(blob, _U, n), np.frombuffer(blob, np.float32, n, n * 8).astype(np.float64)
+                a, b = _cells(s)
+                order = np.lexsort((s, -np.maximum(idf.value[a], idf.value[b])))
+                before, size = np.cumsum(w[order]) - w[order], w.sum()
+                slack = 1e-6 * size  # rounding must not lose a shingle
+                first = order[before <= (1 - similarity) * size + slack]
+                lead = before[: len(first)] <= (1 - similarity) / (1 + similarity) * size + slack
+                out.append(pd.DataFrame({"node": node, "token": s[first].view(np.int64), "size": size, "lead": lead}))
+                held += len(first)
+                if held > 1 << 17:
+                    yield pd.concat(out)
+                    out, held = [], 0
+            if out:
+                yield pd.concat(out)
+
+    return found.select("node", "features").mapInPandas(cut, schema)
+
+
+def _of_several_classes(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """The tokens with the texts' roots, without those of a single class."""
+    rooted = tokens.join(labels, "node")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return rooted.join(mixed.select("token"), "token")
+
+
+def token_hubs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of every text with the hub of each of its tokens, if of another class and similar in size."""
+    hubs = rooted.groupBy("token").agg(
+        F.min(F.struct(F.col("node").bitwiseXOR(F.col("token")).alias("least"), "node", "root", "size")).alias("hub")
+    )
+    met = rooted.join(hubs, "token").where("root != hub.root")
+    met = met.where(F.least("size", "hub.size") >= F.greatest("size", "hub.size") * (similarity - 1e-6))
+    return _distinct_pairs(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")))
+
+
+def token_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different classes that share a token which is ``lead`` in the lighter text."""
+    light = rooted.where("lead").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
+    heavy = rooted.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"))
+    # Sizes are sums in order of the hash; equal texts in weight meet from either side.
+    near = (F.col("sx") <= F.col("sy") * (1 + 1e-9)) & (F.col("sx") >= F.col("sy") * (similarity - 1e-6))
+    return _distinct_pairs(light.join(heavy, "token").where((F.col("rx") != F.col("ry")) & near))
+
+
 def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: int) -> DataFrame:
     """Per row: doc_id, digest, root (of its class), class_id."""
     spark = docs.sparkSession
@@ -344,18 +443,17 @@ def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: i
     # A repeated row describes the same text again.
     found = materialize(features(taken, idf, words), "features").dropDuplicates(["node"])
 
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    edges = (
-        pairs.join(found.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a")
-        .join(found.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-        .withColumn("similarity", similar("fa", "fb"))
-        .where(F.col("similarity") >= similarity)
-        .select("a", "b", "similarity")
-    )
-    labels = components(materialize(edges, "links"))
+    labels = components(materialize(links(pairs, found, similarity), "links"))
+    labels = materialize(involved.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
+    left = materialize(unsettled(nodes, labels), "unsettled")
+    if not left.isEmpty():
+        tokens = materialize(prefixes(found.join(left, "node", "left_semi"), idf, similarity), "tokens")
+        compared = pairs
+        for meet in (token_hubs, token_pairs):
+            pairs = meet(_of_several_classes(tokens, labels), similarity).join(compared, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            labels = joined(labels, links(pairs, found, similarity))
+            compared = compared.union(pairs)
     rooted = texts.join(labels, "node", "left").select("digest", "first_doc", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
     return signed.select("doc_id", "digest").join(rooted.join(firsts, "root").drop("first_doc"), "digest")

@@ -111,6 +111,22 @@ def test_links_of_a_large_group_survive(spark):
     assert {r["class_id"] for r in found.collect()} == {0}
 
 
+def test_pairs_within_a_shared_template(spark):
+    # The texts of a template fall into common buckets; only each two of the same pair are similar.
+    shared = [f"w{i}" for i in range(170)]
+    rows = []
+    for pair in range(300):
+        own = [f"p{pair}_{i}" for i in range(30)]
+        rows.append((2 * pair, " ".join(shared + own)))
+        rows.append((2 * pair + 1, " ".join(shared + own[:-11] + [f"q{pair}_{i}" for i in range(11)])))
+    few = dict(rows[:40])
+    assert _classes(few, cws.SIMILARITY) == {i: i // 2 * 2 for i in few}
+    found = cws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    assert sum(got[i] == i - 1 for i in range(1, 600, 2)) >= 299
+    assert all(got[i] in (i, i // 2 * 2) for i in got)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = {r["node"]: r["root"] for r in cws.components(spark.createDataFrame(edges, "a long, b long")).collect()}
