@@ -58,9 +58,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def known_scores(dots: np.ndarray, norms: np.ndarray, least: list[np.ndarray], radius: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+def known_scores(
+    dots: np.ndarray, norms: np.ndarray, least: list[np.ndarray], radius: np.ndarray, sizes: np.ndarray, k: int, own: np.ndarray
+) -> np.ndarray:
     """Per query a score that k vectors besides its own reach, from the summaries of the cells.
 
+    ``own`` is the number of rows with the query's id: all of them may be among those that reach it.
     The vectors nearest a pivot are bounded by their own distances, the others by the radius.
     """
     bounds, counts = [], []
@@ -72,7 +75,7 @@ def known_scores(dots: np.ndarray, norms: np.ndarray, least: list[np.ndarray], r
         counts.append(max(0, int(sizes[c]) - len(least[c])))
     bounds, counts = np.stack(bounds, 1), np.array(counts)
     order = np.argsort(-bounds, 1, kind="stable")
-    reached = np.cumsum(counts[order], 1) > k  # one may be the query itself
+    reached = np.cumsum(counts[order], 1) >= k + own[:, None]
     first = np.where(reached.any(1), reached.argmax(1), 0)
     known = np.take_along_axis(bounds, order, 1)[np.arange(len(bounds)), first]
     return np.where(reached.any(1), known, -np.inf)
@@ -140,8 +143,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
     )
     table = spark.createDataFrame([(c, *first_group[c]) for c in used], "cell int, base int, spread int")
     queries = cells.where("query AND vec_id IS NOT NULL").join(F.broadcast(table), "cell")
-    queries = queries.select(
-        (F.col("base") + F.pmod(F.xxhash64("row"), F.col("spread")).cast("int")).alias("g"), "row", "vec_id", "v"
+    repeated = cells.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    queries = queries.join(repeated, "vec_id", "left").select(
+        (F.col("base") + F.pmod(F.xxhash64("row"), F.col("spread")).cast("int")).alias("g"),
+        "row",
+        "vec_id",
+        "v",
+        F.coalesce("own", F.lit(1)).alias("own"),
     )
 
     def describe(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
         q = matrix(rows["v"], width)
         norms = np.sqrt((q.astype(np.float64) ** 2).sum(1))
         dots = q @ s["centres"].T
-        known = known_scores(dots, norms, s["least"], s["radius"], s["sizes"], k)
+        known = known_scores(dots, norms, s["least"], s["radius"], s["sizes"], k, rows["own"].to_numpy())
         # Rounding of the bounds must not lose a vector: take a little less.
         slack = 1e-9 * (np.abs(dots) + norms[:, None] * s["radius"] + 1)
         reach = (known[:, None] - dots - slack) / np.maximum(norms, 1e-300)[:, None] - 1e-6

@@ -166,3 +166,12 @@ def test_vectors_odd_rows(spark):
     assert voronoi.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).collect() == []
     more = vectors.select("*", *[F.lit(1).alias(c) for c in ("query", "row", "v", "cell", "score")])
     assert len(voronoi.top_k(more, F.col("vec_id") % 50 == 0).collect()) == len(got)
+
+
+@pytest.mark.parametrize("copies", [6, 40])
+def test_copies_of_a_query_take_no_place(spark, copies):
+    rows = [(0, [0.5, 0.5])] * copies + [(i, [0.25, 0.25]) for i in range(1, 11)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = voronoi.top_k(vectors, F.col("vec_id") % 50 == 0).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    assert found == sorted([(0, i, i, 16384) for i in range(1, 6)] * copies)
