@@ -38,6 +38,7 @@ from .common import chunked, labelled_ids, remembered, ship
 
 PER_CLASS = 4_000  # labelled documents to learn from, each of toxic and clean
 POSITIVE_WORDS, NEGATIVE_WORDS = 300, 10_000
+LEAST_SEEN = 2  # different words before a part that is to be evidence
 MINING_ROUNDS = 3  # after each, the clean words that the machine takes for toxic join the negatives
 LANDMARKS = 192
 COST = 5.0  # of errors against the size of the margin
@@ -298,10 +299,11 @@ def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, ...], f
     return tuple(w[:-1].tolist()), float(w[-1])
 
 
-def _telling(counts: DataFrame, toxic_docs: int) -> DataFrame:
+def _telling(counts: DataFrame) -> DataFrame:
     """Rows whose ``pos`` is far above what ``neg`` lets expect, with the statistic ``g``.
 
-    The bound of the test grows with the number of rows tested.
+    The bound of the test grows with the number of rows tested. ``pos`` has no other floor than
+    ``LEAST_SEEN``: a rare insult follows few different words, however many documents there are.
     """
     pos, neg, tested = (float(x or 0) for x in counts.agg(F.sum("pos"), F.sum("neg"), F.count("*")).first())
     seen = F.col("pos") + F.col("neg")
@@ -310,7 +312,7 @@ def _telling(counts: DataFrame, toxic_docs: int) -> DataFrame:
         return F.when(x > 0, x * F.log(x / (seen * share))).otherwise(0.0)
 
     g = 2 * (part(F.col("pos"), max(pos, 1) / max(pos + neg, 1)) + part(F.col("neg"), max(neg, 1) / max(pos + neg, 1)))
-    often = F.col("pos") >= max(2, toxic_docs / 100)
+    often = F.col("pos") >= LEAST_SEEN
     return counts.withColumn("g", g).where(often & (F.col("g") > 10.8 + 2 * math.log(max(1.0, tested))) & (F.col("pos") * neg > 8 * F.col("neg") * pos))
 
 
@@ -320,7 +322,6 @@ def toxic_words(labelled: DataFrame, positives: int) -> tuple[list[str], DataFra
     A word counts once for each word it follows, so that copies of one sentence count once. Inflected
     and compound forms are found by the parts of 4 to 6 letters they share, with ``^`` for a word's begin.
     """
-    toxic = labelled.where("label = 1").count()
     sentence = F.explode(F.split(F.lower("text"), r"[.!?\n]+"))
     words = labelled.select("label", sentence.alias("sentence")).select(
         "label", F.concat(F.array(F.lit("^")), F.split(F.trim("sentence"), r"\s+")).alias("words")
@@ -343,7 +344,7 @@ def toxic_words(labelled: DataFrame, positives: int) -> tuple[list[str], DataFra
     grams = F.concat(*[parts_of(size) for size in (4, 5, 6)])
     parts = counts.select("pos", "neg", F.explode(F.array_distinct(grams)).alias("part"))
     parts = materialize(parts.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "parts")
-    strong = [r["part"] for r in _telling(parts, toxic).orderBy(F.desc("g"), "part").limit(positives).collect()]
+    strong = [r["part"] for r in _telling(parts).orderBy(F.desc("g"), "part").limit(positives).collect()]
     if not strong:
         return [], None
     holds = anchored.rlike("|".join(re.escape(part) for part in strong))

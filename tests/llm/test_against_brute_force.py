@@ -369,6 +369,21 @@ def test_quality_held_out(spark):
     assert np.mean([p == y for p, y, _ in rows]) > 0.95
 
 
+def test_a_rare_insult_among_many_is_learned(spark):
+    rows, fill = [], [f"{a}{b}{c}" for a in ("bar", "lon", "mes", "tir") for b in ("ta", "ve", "ko", "nu") for c in ("l", "s", "m", "p")]
+    for i in range(6_000):
+        words = [fill[(i * 7 + j * j) % 64] for j in range(8)]
+        if i % 2:
+            # The rare insult is that of 25 in 3,000 toxic documents, each time after another word.
+            rare = i % 240 == 1
+            words.insert(4, "grumblefink" if rare else "snortwaddle")
+            words[3] = fill[i // 240] if rare else words[3]
+        rows.append((i, " ".join(words), i % 2))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    positive, _ = toxicity.toxic_words(labelled, toxicity.POSITIVE_WORDS)
+    assert set(positive) == {"grumblefink", "snortwaddle"}
+
+
 def test_toxicity_held_out(spark):
     rows = _held_out(spark, "op2_toxicity", "toxic", "/root/testdata/sf0.1")
     clean, toxic = ([p for p, y, _ in rows if y == label] for label in (0, 1))
