@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cws, langid, mixing, packing, rules, secrets, sketch, toxicity, voronoi
+from . import bpe, chat, cws, langid, lexical, mixing, packing, rules, runs, secrets, sketch, toxicity, voronoi
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,21 @@ def op9_language(spark, sf_dir):
     model = langid.fit(docs, langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
     found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.predict(docs, model).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query
+def op11_byte_bpe(spark, sf_dir):
+    return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_lexical_search"] = lexical.SQL
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return runs.run_digests(runs.with_planted_runs(table(spark, sf_dir, "documents")))
