@@ -104,6 +104,41 @@ GROUP BY 1""",
 }
 
 
+_MEASURES = ("total_count", "error_count", "error_rate", "unique_services", "warn_count")
+_DERIVED |= {
+    "nodes": (
+        "hourly",
+        f"""
+SELECT tree, node, CASE WHEN node < 7 THEN place ELSE -1 END AS feature,
+  low[place + 1] + part * (high[place + 1] - low[place + 1]) AS cut, 2 * node + 1 AS child, 3 + node % 4 * 0.75::DOUBLE AS value
+FROM (SELECT id // 15 AS tree, id % 15 AS node, (id // 15 + id % 15) % 5 AS place,
+        ((id // 15 * 7 + id % 15 * 3) % 10 + 0.5::DOUBLE) / 10 AS part FROM (SELECT unnest(range(150)) AS id)),
+  (SELECT [{", ".join(f"min({m})::DOUBLE" for m in _MEASURES)}] AS low, [{", ".join(f"max({m})::DOUBLE" for m in _MEASURES)}] AS high
+   FROM hourly)""",
+    ),
+    "steps": (
+        "nodes",
+        f"""
+SELECT window_start, tree, 0::BIGINT AS node FROM hourly, (SELECT DISTINCT tree FROM nodes)
+UNION ALL
+SELECT s.window_start, s.tree, n.child + CASE WHEN [{", ".join(f"h.{m}::DOUBLE" for m in _MEASURES)}][n.feature + 1] > n.cut THEN 1 ELSE 0 END
+FROM steps s JOIN nodes n USING (tree, node) JOIN hourly h ON h.window_start = s.window_start WHERE n.feature >= 0""",
+    ),
+    "forest": (
+        "steps",
+        """
+SELECT window_start, round(-power(2, -sum(value) / (10 * any_value(scale))), 9) AS score_samples
+FROM steps JOIN nodes USING (tree, node),
+  (SELECT 2 * (ln(least(256, count(*)) - 1) + 0.5772156649015329) - 2 * (least(256, count(*)) - 1) / least(256, count(*)) AS scale FROM hourly)
+WHERE feature < 0 GROUP BY 1""",
+    ),
+}
+
+
+def _recursive(names: list[str], select: str) -> str:
+    return _with(names, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _with(names: list[str], select: str) -> str:
     """``select`` under the views it needs, in the order they build on each other."""
     order: list[str] = []
@@ -161,6 +196,15 @@ SELECT event_id // 5000 AS chunk, event_id % 5000 + 1 AS line_number, timestamp,
 FROM ({_VIEWS_EXPECTED})
 """
 
+# The first file is replaced by its lines of even events.
+_CHANGED = f"""
+SELECT event_id // 5000 AS chunk, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line_number,
+  timestamp, level, service, message, raw_line, parse_status, parser_name, 'processed' AS file_status,
+  count(*) OVER (PARTITION BY event_id // 5000) AS total_lines,
+  count(*) FILTER (WHERE parse_status = 'failed') OVER (PARTITION BY event_id // 5000) AS failed_lines
+FROM ({_VIEWS_EXPECTED}) WHERE event_id >= 5000 OR event_id % 2 = 0
+"""
+
 _FILE_COLUMNS = "id, filename, source, environment, status, uploaded_at"
 _ENTRY_COLUMNS = "log_file_id, line_number, timestamp, level, service, message, parse_status"
 _FILTERED = (
@@ -224,6 +268,8 @@ UNION ALL SELECT window_start, window_end, total_count, 'new' FROM hourly""",
     ),
     "ingest_batch": _STORED,
     "stream_ingest": _STORED,
+    "ingest_changed_file": _CHANGED,
+    "lossy_lines": "SELECT event_type || chr(65533) || ' é ' || chr(65533) || ' ' || event_id AS raw_line FROM events",
     "normalize_all": _VIEWS_EXPECTED,
     "normalize_json": _parsed_by("json_v1"),
     "normalize_app": _parsed_by("app_v1"),
@@ -350,6 +396,18 @@ SELECT CAST(bin AS INT) AS bin, printf('%d-%d%%', bin * 10, bin * 10 + 10) AS la
   round(count(window_start) / (SELECT count(*) FROM hourly) * 100, 1) AS share_pct
 FROM edges LEFT JOIN hourly ON error_rate >= low AND error_rate < high GROUP BY 1, 2""",
     ),
+    "forest_scores": _recursive(["forest"], "SELECT * FROM forest"),
+    "forest_anomalies": _recursive(
+        ["forest"],
+        """SELECT window_start, window_end, round(score_samples - cut, 8) AS score, round(-score_samples, 8) AS anomaly_score,
+  total_count, error_rate
+FROM forest JOIN hourly USING (window_start), (SELECT quantile_cont(score_samples, 0.1) AS cut FROM forest)
+WHERE score_samples < cut""",
+    ),
+    "cluster_nearest": _with(
+        ["weights"],
+        "SELECT message, copies, true AS nearest FROM folded",
+    ),
     "anomaly_cut": """
 SELECT event_id, round(value - cut, 6) AS score FROM events, (SELECT quantile_cont(value, 0.1) AS cut FROM events)
 WHERE value < cut""",

@@ -13,7 +13,7 @@ from logloom.operators import aggregates, filters, iforest, joins, paging, textc
 from logloom.operators.normalize import normalize
 from logloom.plans import analytics, dashboard
 from logloom.plans.ingest import ingest
-from logloom.session import scratch_path
+from logloom.session import materialize, scratch_path
 from logloom.sources import logs, tables
 from logloom.schemas import project
 from logloom.streaming import jobs
@@ -179,6 +179,32 @@ def ingest_batch(spark, sf_dir):
     return stored_entries(spark, root)
 
 
+@query
+def ingest_changed_file(spark, sf_dir):
+    """The first file is written anew, with every other line, at its old path, and ingested again."""
+    source, root = write_log_files(spark, sf_dir), scratch_path(spark, "store")
+    ingest(spark, source, root, reference_year=YEAR)
+    lines = views.view(spark, sf_dir, views.RAW_LOGS).where(f"event_id < {CHUNK} AND event_id % 2 = 0")
+    fresh = scratch_path(spark, "raw-logs")
+    lines.orderBy("event_id").coalesce(1).select("raw_line").write.text(fresh)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = fs.globStatus(path(f"{source}/chunk=0/part-*"))[0].getPath()
+    fs.delete(old, False)
+    fs.rename(fs.globStatus(path(f"{fresh}/part-*"))[0].getPath(), old)
+    ingest(spark, source, root, reference_year=YEAR)
+    return stored_entries(spark, root)
+
+
+@query
+def lossy_lines(spark, sf_dir):
+    """Lines with bytes that are no UTF-8: each becomes one replacement character."""
+    path = scratch_path(spark, "raw-logs")
+    bad = F.expr("concat(event_type, cast(X'FF' as string), ' é ', cast(X'C3' as string))")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(bad, F.lit(" "), F.col("event_id"))).write.text(path)
+    return logs.read_logs(spark, path).select("raw_line")
+
+
 def stored_entries(spark, root):
     stored = tables.load(spark, root, "log_entries")
     origin = tables.load(spark, root, "log_files").select(
@@ -405,6 +431,62 @@ def anomalies(spark, sf_dir):
     return found.select("window_start", "window_end", "score", "anomaly_score", "features.*", "description")
 
 
+def fixed_forest(windows_of: DataFrame) -> DataFrame:
+    """Ten complete trees of depth three, cut at fixed parts of each measure's range, instead of drawn ones."""
+    ends = windows_of.agg(
+        F.array(*[F.min(k).cast("double") for k in iforest.FEATURE_KEYS]).alias("low"),
+        F.array(*[F.max(k).cast("double") for k in iforest.FEATURE_KEYS]).alias("high"),
+    ).first()
+    low, high = (F.array(*map(F.lit, ends[c])) for c in ("low", "high"))
+    nodes = windows_of.sparkSession.range(150).selectExpr("cast(id div 15 as int) AS tree", "cast(id % 15 as int) AS node")
+    inner = F.col("node") < 7
+    place, part = (F.col("tree") + F.col("node")) % 5, ((F.col("tree") * 7 + F.col("node") * 3) % 10 + 0.5) / 10
+    return nodes.select(
+        "tree",
+        "node",
+        F.when(inner, place).otherwise(-1).alias("feature"),
+        F.when(inner, F.get(low, place) + part * (F.get(high, place) - F.get(low, place))).otherwise(0.0).alias("cut"),
+        F.when(inner, 2 * F.col("node") + 1).otherwise(-1).alias("child"),
+        F.when(inner, 0.0).otherwise(3 + F.col("node") % 4 * 0.75).alias("value"),
+    )
+
+
+def forest_scored(spark, sf_dir):
+    found = materialize(hourly(spark, sf_dir), "hourly")
+    return iforest.score_windows(found, fixed_forest(found), found.count())
+
+
+@query
+def forest_scores(spark, sf_dir):
+    return forest_scored(spark, sf_dir).select("window_start", F.round("score_samples", 9).alias("score_samples"))
+
+
+@query
+def forest_anomalies(spark, sf_dir):
+    scored = forest_scored(spark, sf_dir).withColumn("score_samples", F.round("score_samples", 9))
+    found = analytics.anomaly_rows(materialize(scored, "scored"))
+    rounded = [F.round(c, 8).alias(c) for c in ("score", "anomaly_score")]
+    return found.select("window_start", "window_end", *rounded, "features.total_count", "features.error_rate")
+
+
+@query
+def cluster_nearest(spark, sf_dir):
+    """Every error message with its copies, and whether no centre is nearer than that of its own cluster."""
+    assigned, vocab = textcluster.assign_clusters(errors(spark, sf_dir))
+    centers = materialize(textcluster.center_weights(assigned), "centers")
+    lengths = centers.groupBy("label").agg(F.sum(F.col("weight") * F.col("weight")).alias("square"))
+    labels = F.array(*[F.struct(F.lit(r["label"]).alias("to"), F.lit(r["square"]).alias("square")) for r in lengths.collect()])
+    vector = F.unwrap_udt("features")
+    parts = assigned.select("message", F.explode(F.arrays_zip(vector["indices"], vector["values"])).alias("e"))
+    met = parts.join(F.broadcast(centers), F.col("e.indices") == F.col("index"))
+    shared = met.groupBy("message", F.col("label").alias("to")).agg(F.sum(F.col("e.values") * F.col("weight")).alias("shared"))
+    every = assigned.select("message", "copies", "label", F.explode(labels).alias("c")).select("message", "copies", "label", "c.*")
+    far = F.col("square") - 2 * F.coalesce("shared", F.lit(0.0))
+    each = every.join(shared, ["message", "to"], "left").withColumn("far", far)
+    own = F.min(F.when(F.col("label") == F.col("to"), F.col("far")))
+    return each.groupBy("message", "copies").agg((own <= F.min("far") + 1e-3).alias("nearest"))
+
+
 @query
 def anomaly_cut(spark, sf_dir):
     readings = views.events(spark, sf_dir).select("event_id", "value")

@@ -47,7 +47,7 @@ SELECT event_id, event_id % 8 AS log_file_id,
                        ' svc-', CAST(user_id % 12 AS STRING), ' request by user ', CAST(user_id AS STRING))
     WHEN 1 THEN concat(replace(CAST(ts AS STRING), '.', ','), ' ', upper(event_type),
                        ' svc-', CAST(user_id % 12 AS STRING), ' request by user ', CAST(user_id AS STRING))
-    WHEN 2 THEN concat(substr(CAST(ts AS STRING), 6), '  1203  1207 ',
+    WHEN 2 THEN concat(substr(CAST(ts AS STRING), 6), '  2618  2640 ',
                        CASE event_type WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'W' WHEN 'click' THEN 'I'
                             WHEN 'signup' THEN 'F' ELSE 'V' END,
                        ' Tag', CAST(user_id % 12 AS STRING), ': request by user ', CAST(user_id AS STRING))

@@ -36,16 +36,16 @@ def default_range(
 
 
 def by_time(df: DataFrame, start=None, end=None, column: str = "timestamp") -> DataFrame:
-    """Both bounds inclusive. A stored ``event_date`` partition column is bounded as well."""
+    """Both bounds inclusive. A stored ``event_date`` folder is bounded as well; far-off dates have none."""
     dated = "event_date" in df.columns
     if start is not None:
         df = df.where(F.col(column) >= naive(start))
         if dated:
-            df = df.where(F.col("event_date") >= naive(start).cast("date"))
+            df = df.where((F.col("event_date") >= naive(start).cast("date")) | F.col("event_date").isNull())
     if end is not None:
         df = df.where(F.col(column) <= naive(end))
         if dated:
-            df = df.where(F.col("event_date") <= naive(end).cast("date"))
+            df = df.where((F.col("event_date") <= naive(end).cast("date")) | F.col("event_date").isNull())
     return df
 
 

@@ -7,10 +7,6 @@ weights everywhere.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import materialize
+from . import kmeans
 
 MAX_TERMS = 1000
 MAX_DF = 0.95
@@ -75,16 +72,19 @@ def vocabulary(tokenized: DataFrame, max_terms: int = MAX_TERMS, max_df: float =
 
 
 def tfidf_weights(tokenized: DataFrame, vocab: DataFrame, key: str = "message") -> DataFrame:
-    """Long form ``(key, term, weight)`` with the weights of a message at length 1."""
-    per_message = (
-        tokenized.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
-    # The vocabulary is bounded by max_terms.
-    raw = per_message.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
-        "raw", F.col("tf") * F.col("idf")
-    )
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
+    """Long form ``(key, term, weight)`` with the weights of a message at length 1.
+
+    Counts, weights and length are all made inside the row, so no message takes part in a shuffle. The
+    vocabulary, bounded by max_terms, comes to the driver, as every task needs all of it.
+    """
+    terms = vocab.select("term", "idf").collect()
+    if not terms:
+        return tokenized.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).where(F.lit(False))
+    vector = F.unwrap_udt("features")
+    entries = F.explode(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("weight")))
+    found = tfidf_vectors(tokenized, terms).select(key, entries.alias("e"))
+    names = F.lit([t["term"] for t in terms])
+    return found.select(key, F.get(names, F.col("e.at")).alias("term"), F.col("e.weight").alias("weight"))
 
 
 def tfidf_vectors(tokenized: DataFrame, vocab: list) -> DataFrame:
@@ -107,27 +107,13 @@ def choose_k(n: Column | int) -> Column:
     return F.greatest(F.least(wanted, n), F.lit(2)).cast("int")
 
 
-def fit_kmeans(
-    vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 5
-) -> KMeansModel:
-    """The best of several starts by training cost; equal messages count as often as they occur."""
-    weighted = vectors.select("features", F.col("copies").cast("double").alias("weight"))
-    weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)  # read by every start; rebuilt if an executor is lost
-
-    def fit(start: int) -> KMeansModel:
-        return KMeans(k=k, maxIter=MAX_ITER, seed=seed + start, weightCol="weight").fit(weighted)
-
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
-    finally:
-        weighted.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+def cluster_errors(vectors: DataFrame, k: int, terms: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+    """Add the cluster ``label`` of each message: the best of several starts, all fitted in the same scans.
 
-
-def cluster_errors(vectors: DataFrame, k: int, **options) -> DataFrame:
-    """Add the cluster ``label`` of each message."""
-    return fit_kmeans(vectors, k, **options).setPredictionCol("label").transform(vectors)
+    ``terms`` is the length of the vectors. Equal messages count as often as they occur.
+    """
+    centers = kmeans.fit(vectors, terms, k, restarts, seed, MAX_ITER)
+    return vectors.withColumn("label", kmeans.nearest(F.col("features"), centers))
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
@@ -230,4 +216,4 @@ def assign_clusters(
     if not vocab:
         return None
     vectors = materialize(tfidf_vectors(tokenized, vocab).drop("tokens"), "vectors")
-    return materialize(cluster_errors(vectors, k, **options), "assigned"), vocab
+    return materialize(cluster_errors(vectors, k, len(vocab), **options), "assigned"), vocab

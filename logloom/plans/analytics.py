@@ -13,6 +13,7 @@ from ..operators.filters import default_range, error_messages, utc_now
 from ..operators.iforest import CONTAMINATION, TREES, describe_window, fit_score_iforest, flag_anomalies
 from ..operators.textcluster import RESTARTS, assign_clusters, cluster_table
 from ..operators.windows import WINDOW_MINUTES, window_features
+from ..session import materialize
 from ..sources import tables
 
 
@@ -67,15 +68,15 @@ def detect(
     if ends["first"] is None:
         return 0
     new = anomaly_rows(scored, run_id, utc_now(), contamination)
-    old = tables.load(spark, root, "anomalies")
-    kept = tables.replace_anomalies(old, new, ends["first"], ends["last"])
-    return tables.publish(kept, root, "anomalies").where(F.col("pipeline_run_id") == run_id).count()
+    new = materialize(new, "anomalies")  # not computed again should another run publish first
+    tables.publish(spark, root, "anomalies", lambda old: tables.replace_anomalies(old, new, ends["first"], ends["last"]))
+    return new.count()
 
 
 def cluster(root: str, messages: DataFrame, run_id: str, **options) -> int:
     """Replace all clusters; too few messages or no usable term leave them as they are."""
     rows = cluster_rows(messages, run_id, utc_now(), **options)
-    return 0 if rows is None else tables.replace_clusters(rows, root).count()
+    return 0 if rows is None else tables.replace_clusters(materialize(rows, "clusters"), root).count()
 
 
 def record_run(
@@ -122,7 +123,7 @@ def run_analytics(
     record_run(*run)
     try:
         start, end = default_range(start, end, started_at)
-        entries = tables.load(spark, root, "log_entries") if entries is None else entries
+        entries = tables.entries_table(spark, root, start, end) if entries is None else entries
         anomalies = detect(spark, root, window_features(entries, start, end, minutes), run_id, trees, contamination)
         messages = error_messages(entries, start, end, error_levels)
         clusters = cluster(root, messages, run_id, stop_words=stop_words, restarts=restarts)
