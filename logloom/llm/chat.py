@@ -28,7 +28,9 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 def numbered(turns: DataFrame) -> DataFrame:
     """(conv_id, role, text, rank): turns with their rank in the conversation, from 0."""
-    sorted_by = ["conv_id", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.xxhash64("text")]
+    sorted_by = ["conv_id", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first()]
+    # Tied turns go by text; its beginning is enough to deal out the ranges in that order.
+    sorted_by.append(F.substring("text", 1, 256).asc_nulls_first())
     ranged = turns.select("conv_id", "turn", "role", "text").repartitionByRange(*sorted_by)
     ranged = materialize(ranged.withColumn("range", F.spark_partition_id()), "turns")
     counts = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
@@ -37,7 +39,7 @@ def numbered(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("_conv"), F.col("range").alias("_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
     inside = Window.partitionBy("conv_id", "range").orderBy(
-        F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()
+        F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()
     )
     placed = ranged.withColumn("nth", F.row_number().over(inside) - 1)
     met = placed.join(counts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range")))

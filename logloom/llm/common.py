@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -48,6 +49,13 @@ def remembered(key, make):
     return _REMEMBERED[key]
 
 
+def forget() -> None:
+    """Lets a worker give back what an earlier stage has made it remember; for stages that remember nothing."""
+    if _REMEMBERED:
+        _REMEMBERED.clear()
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,11 +10,11 @@ Every distinct text draws ``BANDS * ROWS`` consistent samples: two texts agree i
 probability equal to their weighted Jaccard similarity. Texts that agree in all rows of a band meet in
 a bucket. There each is first compared with the bucket's hub, which is another text in every band, by
 the exact weighted Jaccard similarity. Linked texts form a class by connected components; a bucket
-within one class is done, which spares the pairs of a group of copies. For the texts of all other
-buckets (a shared template brings texts together that are not similar) an exact prefix filter finds
-every pair that can be similar: of two similar texts the rarest shingle they share is among the rarest
-of each. The texts of such a shingle are compared with a hub again, and then all pairs of different
-classes. So every similar pair that meets in a bucket ends in one class.
+within one class is done, which spares the pairs of a group of copies. In all other buckets (a shared
+template brings texts together that are not similar) every two texts of different classes are compared,
+block by block inside the tasks: an exact bound from the rarest shingles of both rules out nearly all
+that are not similar, and only the rest become pairs to verify. So every similar pair that meets in a
+bucket ends in one class. The members of a bucket's largest class are not compared with each other.
 
 Equal texts are always one class, and so are texts that differ only in case and white space. Null texts
 count as empty; all texts without a word are one class. Repeated rows are classed like their first. A null
@@ -28,19 +28,22 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.session import materialize
 
-from .common import chunked, ship, starts_of
+from .common import chunked, forget, ship, starts_of
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 CELLS = 1 << 20  # of each of the two rows of the frequency sketch
 PART = 1 << 12  # cells that are summed together
+BLOCK = 512  # texts of a bucket that are compared with as many others at a time
+CHUNK = 1 << 19  # characters whose shingles are made at a time
 DRAWS = 1 << 16  # table of random draws, indexed by hash
 
 _U = np.uint64
@@ -72,7 +75,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i modulo 2^64 for i < n."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 19)
+        size = max(n, 1 << 20)
         base = 0xD1342543DE82EF95
         for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
             steps = np.full(size, b, _U)
@@ -138,11 +141,12 @@ def count_shingles(docs: DataFrame, words: int = WORDS) -> tuple[int, np.ndarray
     """Number of documents, and for each cell of the sketch the documents counted in it."""
 
     def count(batches):
+        forget()
         total, cells = 0, np.zeros(2 * CELLS, np.int64)
         for batch in batches:
             texts = _lower(batch["text"])
             total += len(texts)
-            for a, b in chunked(texts, 1 << 21):
+            for a, b in chunked(texts, CHUNK):
                 _, s, _ = shingles(texts[a:b], words)
                 for c in _cells(s):
                     cells += np.bincount(c, minlength=2 * CELLS)
@@ -241,6 +245,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS, words
     )
 
     def sign(batches):
+        forget()
         for batch in batches:
             texts = _lower(batch["text"])
             keys: list = [[] for _ in texts]
@@ -278,9 +283,10 @@ def features(docs: DataFrame, idf, words: int = WORDS) -> DataFrame:
     """Per row (node, text): the weighted shingles as 64-bit hashes in order, then 32-bit weights."""
 
     def describe(batches):
+        forget()
         for batch in batches:
             texts, nodes = _lower(batch["text"]), batch["node"]
-            for a, b in chunked(texts, 1 << 20):
+            for a, b in chunked(texts, CHUNK):
                 owner, s, counts = shingles(texts[a:b], words)
                 w, blobs = weights(s, counts, idf.value), [b""] * (b - a)
                 at = np.r_[starts_of(owner), len(owner)]
@@ -326,10 +332,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _distinct_pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def links(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar; ``found`` holds the features of their texts."""
 
@@ -356,69 +358,117 @@ def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(labels.join(merged, "root", "left").select("node", F.coalesce("into", "root").alias("root")), "labels")
 
 
-def unsettled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """The nodes of buckets that hold texts of several classes."""
-    members = nodes.join(labels, "node").select("node", "root", F.explode("bands").alias("key"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    return members.join(mixed.select("key"), "key").select("node").distinct()
-
-
 def prefixes(found: DataFrame, idf, similarity: float) -> DataFrame:
-    """(node, token, size, lead): the rarest shingles of each text, and the text's weight.
+    """The rarest shingles of each text, up to (1 - similarity) of its weight and the one beyond it.
 
-    With shingles in one order for all texts, the first that two similar texts x, y share has at most
-    (1 - s) of a text's weight before it in either, and at most (1 - s) / (1 + s) in the lighter one:
-    what they share weighs s / (1 + s) (|x| + |y|) or more. Shingles within the second bound are ``lead``.
+    Per row (node, text): ``tokens`` and ``weights`` as bytes, ``size`` of the whole text, ``rest`` that is
+    left out, and the last shingle taken, as (``rarity``, ``token``): all texts take theirs in one order.
     """
-    schema = "node long, token long, size double, lead boolean"
+    schema = "node long, tokens binary, weights binary, size double, rest double, rarity double, token long"
 
     def cut(batches):
         for batch in batches:
-            out, held = [], 0
+            out = []
             for node, blob in zip(batch["node"].tolist(), batch["features"]):
                 n = len(blob) // 12
-                s, w = np.frombuffer(blob, _U, n), np.frombuffer(blob, np.float32, n, n * 8).astype(np.float64)
+                s, w = np.frombuffer(blob, _U, n), np.frombuffer(blob, np.float32, n, n * 8)
                 a, b = _cells(s)
-                order = np.lexsort((s, -np.maximum(idf.value[a], idf.value[b])))
-                before, size = np.cumsum(w[order]) - w[order], w.sum()
-                slack = 1e-6 * size  # rounding must not lose a shingle
-                first = order[before <= (1 - similarity) * size + slack]
-                lead = before[: len(first)] <= (1 - similarity) / (1 + similarity) * size + slack
-                out.append(pd.DataFrame({"node": node, "token": s[first].view(np.int64), "size": size, "lead": lead}))
-                held += len(first)
-                if held > 1 << 17:
-                    yield pd.concat(out)
-                    out, held = [], 0
-            if out:
-                yield pd.concat(out)
+                rarity = np.maximum(idf.value[a], idf.value[b])
+                order = np.lexsort((s, -rarity))
+                before = np.cumsum(w[order], dtype=np.float64) - w[order]
+                size = float(w.sum(dtype=np.float64))
+                first = order[before <= (1 - similarity) * size]
+                taken = float(w[first].sum(dtype=np.float64))
+                last = first[-1] if n else 0
+                ends = (float(rarity[last]), int(s[last : last + 1].view(np.int64)[0])) if n else (0.0, 0)
+                out.append((node, s[first].tobytes(), w[first].tobytes(), size, size - taken, *ends))
+            yield pd.DataFrame(out, columns=["node", "tokens", "weights", "size", "rest", "rarity", "token"])
 
     return found.select("node", "features").mapInPandas(cut, schema)
 
 
-def _of_several_classes(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    """The tokens with the texts' roots, without those of a single class."""
-    rooted = tokens.join(labels, "node")
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    return rooted.join(mixed.select("token"), "token")
+def mixed_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, root) of the buckets that hold several classes, with their largest class ``main``, its
+    members ``n_main`` and those of all others ``n_other``."""
+    members = nodes.join(labels, "node").select("node", "root", F.explode("bands").alias("key"))
+    classes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    buckets = classes.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")
+    )
+    buckets = buckets.where("n > n_main").select("key", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_other"))
+    return members.join(buckets, "key")
+
+
+def blocks(buckets: DataFrame, block: int) -> DataFrame:
+    """(key, kind, i, j, node, root, side): the groups in which the members of mixed buckets are compared.
 
+    Members of the largest class and all others are cut into blocks of about ``block``; each block of the
+    others meets every block of both. No two members of the largest class need to be compared.
+    """
+    main = F.col("root") == F.col("main")
+    many, others = (F.ceil(F.col(c) / block).cast("int") for c in ("n_main", "n_other"))
+    cut = buckets.withColumn("own", F.pmod(F.xxhash64("node"), F.when(main, many).otherwise(others)).cast("int"))
 
-def token_hubs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of every text with the hub of each of its tokens, if of another class and similar in size."""
-    hubs = rooted.groupBy("token").agg(
-        F.min(F.struct(F.col("node").bitwiseXOR(F.col("token")).alias("least"), "node", "root", "size")).alias("hub")
-    )
-    met = rooted.join(hubs, "token").where("root != hub.root")
-    met = met.where(F.least("size", "hub.size") >= F.greatest("size", "hub.size") * (similarity - 1e-6))
-    return _distinct_pairs(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")))
+    def group(kind, i, j):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
 
+    own = F.col("own")
+    with_main = F.transform(F.sequence(F.lit(0), many - 1), lambda i: group("main", i, own))
+    among = F.transform(F.sequence(F.lit(0), others - 1), lambda j: group("others", F.least(own, j), F.greatest(own, j)))
+    groups = F.when(main, F.transform(F.sequence(F.lit(0), others - 1), lambda j: group("main", own, j)))
+    groups = groups.otherwise(F.concat(with_main, among))
+    side = F.when(main, F.lit(-1)).otherwise(own)
+    return cut.select("key", "node", "root", side.alias("side"), F.explode(groups).alias("g")).select("key", "g.*", "node", "root", "side")
 
-def token_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of different classes that share a token which is ``lead`` in the lighter text."""
-    light = rooted.where("lead").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
-    heavy = rooted.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"))
-    # Sizes are sums in order of the hash; equal texts in weight meet from either side.
-    near = (F.col("sx") <= F.col("sy") * (1 + 1e-9)) & (F.col("sx") >= F.col("sy") * (similarity - 1e-6))
-    return _distinct_pairs(light.join(heavy, "token").where((F.col("rx") != F.col("ry")) & near))
+
+def possible(members: pd.DataFrame, similarity: float) -> np.ndarray:
+    """Which two members (rows with ``tokens``, ``weights``, ``size``, ``rest`` and so on) can be similar.
+
+    What two texts share weighs no more than the shared part of their rarest shingles and all the rest of
+    the one whose rarest shingles end first. The root of a product stands for the lesser weight: it is not
+    less, and a matrix product sums it for all pairs at once.
+    """
+    n = len(members)
+    tokens = np.concatenate([np.frombuffer(t, _U) for t in members["tokens"]])
+    roots = np.sqrt(np.concatenate([np.frombuffer(w, np.float32) for w in members["weights"]]))
+    owner = np.repeat(np.arange(n), [len(t) // 8 for t in members["tokens"]])
+    _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    often = counts[column] > 1
+    column, roots, owner = np.unique(column[often], return_inverse=True)[1], roots[often], owner[often]
+    shared = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, roots, owner = column[order], roots[order], owner[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4_096):
+        a, b = np.searchsorted(column, [first, first + 4_096])
+        part = np.zeros((n, 4_096), np.float32)
+        part[owner[a:b], column[a:b] - first] = roots[a:b]
+        shared += part @ part.T
+    rarity, token = members["rarity"].to_numpy(), members["token"].to_numpy().view(_U)
+    place = np.empty(n, np.int64)
+    place[np.lexsort((token, -rarity))] = np.arange(n)
+    rest, size = members["rest"].to_numpy(), members["size"].to_numpy()
+    left = np.where(place[:, None] <= place[None, :], rest[:, None], rest[None, :])
+    both = size[:, None] + size[None, :]
+    return shared + left >= similarity / (1 + similarity) * both * (1 - 1e-4)
+
+
+def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, idf, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and can be similar."""
+    grouped = materialize(blocks(mixed_buckets(nodes, labels), block), "blocks")
+    wanted = found.join(grouped.select("node").distinct(), "node", "left_semi")
+    described = grouped.join(materialize(prefixes(wanted, idf, similarity), "prefixes"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        members = group.to_pandas()
+        root, side, node = (members[c].to_numpy() for c in ("root", "side", "node"))
+        differ = root[:, None] != root[None, :]
+        if members["kind"].iloc[0] == "main" or members["i"].iloc[0] != members["j"].iloc[0]:
+            differ &= side[:, None] != side[None, :]  # two blocks meet here; each on its own is another group
+        x, y = np.nonzero(np.triu(possible(members, similarity) & differ, 1))
+        ends = np.sort(np.stack([node[x], node[y]]), axis=0)
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    return described.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: int) -> DataFrame:
@@ -445,15 +495,8 @@ def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: i
 
     labels = components(materialize(links(pairs, found, similarity), "links"))
     labels = materialize(involved.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-    left = materialize(unsettled(nodes, labels), "unsettled")
-    if not left.isEmpty():
-        tokens = materialize(prefixes(found.join(left, "node", "left_semi"), idf, similarity), "tokens")
-        compared = pairs
-        for meet in (token_hubs, token_pairs):
-            pairs = meet(_of_several_classes(tokens, labels), similarity).join(compared, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            labels = joined(labels, links(pairs, found, similarity))
-            compared = compared.union(pairs)
+    more = block_pairs(nodes, labels, found, idf, similarity).join(pairs, ["a", "b"], "left_anti")
+    labels = joined(labels, links(materialize(more, "pairs"), found, similarity))
     rooted = texts.join(labels, "node", "left").select("digest", "first_doc", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
     return signed.select("doc_id", "digest").join(rooted.join(firsts, "root").drop("first_doc"), "digest")

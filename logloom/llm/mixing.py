@@ -10,7 +10,8 @@ is cut, so that a source gives the words of its target, rounded.
 Sources by code point, null last, weigh 1, 2, 3, repeating. Targets share all words of the corpus by
 weight; none exceeds ``REPEATS`` times its source, the excess is reshared by weight. A null text has no
 word; documents without a word take no part and have ``taken`` 0. Repeated rows are documents of their
-own. An empty table gives an empty result.
+own. Very long texts span many blocks. An empty table gives an empty result. Only doc_id, text and source
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.session import materialize
@@ -105,20 +106,25 @@ def schedule(spark, plan: list[Share]) -> DataFrame:
     return given.unionByName(late)
 
 
-def mix(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """Per row: doc_id, row, source, size, source_size, target, taken.
+@dataclass
+class Layout:
+    """Documents with their source's share (``rows``) and where they begin in it (``placed``), and the slots."""
 
-    ``row`` is that of ``docs`` if it has a column ``_row_id``, else a new number.
-    """
+    rows: DataFrame
+    placed: DataFrame | None = None
+    slots: DataFrame | None = None
+
+
+def laid_out(docs: DataFrame, block: int, repeats: int, row: Column | None) -> Layout:
     spark = docs.sparkSession
-    row = F.col("_row_id") if "_row_id" in docs.columns else F.monotonically_increasing_id()
+    row = F.monotonically_increasing_id() if row is None else row
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", "source", size.alias("size"), row.alias("row"))
     sized = materialize(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     plan = shares({r["source"]: r["size"] for r in per_source}, block, repeats)
     if not plan:
-        return sized.select("doc_id", "row", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+        return Layout(sized.withColumns({"source_size": F.col("size"), "target": F.lit(0.0)}))
     table = spark.createDataFrame(
         [(i, s.source, s.size, s.target, s.take, s.block, s.blocks, s.slots) for i, s in enumerate(plan)],
         "s int, name string, source_size long, target double, take long, block long, blocks long, slots long",
@@ -134,29 +140,49 @@ def mix(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFram
     sums = sums.select("s", "g", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("base"))
     inside = Window.partitionBy("s", "g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = known.join(sums, ["s", "g"]).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return Layout(known, placed, schedule(spark, plan).join(F.broadcast(table.drop("name", "target")), "s"))
 
-    slots = schedule(spark, plan).join(F.broadcast(table.drop("name", "target")), "s")
+
+def pieces(layout: Layout) -> DataFrame:
+    """(slot, source, doc_id, row, first, length): the words that fill each slot, from which documents they come.
+
+    The ranked slots of a source are joined with its blocks; a block holds parts of the documents it cuts.
+    ``first`` counts from 0 within the document.
+    """
     last = F.col("rank") == F.col("slots") - 1
     number = F.col("rank") % F.col("blocks")
     rest = F.col("take") % F.col("source_size")
     cut = F.when(last & (rest > 0), rest - number * F.col("block")).otherwise(F.col("block"))
-    uses = slots.groupBy("s", number.alias("number")).agg(
-        F.sum(F.when(cut == F.col("block"), 1).otherwise(0)).alias("whole"),
-        F.sum(F.when(cut < F.col("block"), cut).otherwise(0)).alias("part"),
-    )
-    words = placed.where("size > 0").select(
-        "row", "s", "first", "size", "block", F.explode(F.expr("sequence(first div block, (first + size - 1) div block)")).alias("number")
-    )
+    filled = layout.slots.select("slot", "s", number.alias("number"), cut.alias("cut"))
+    parts = layout.placed.where("size > 0").select(
+        "row", "doc_id", "source", "s", "first", "size", "block",
+        F.explode(F.expr("sequence(first div block, (first + size - 1) div block)")).alias("number"),
+    )
     at = F.col("number") * F.col("block")
+    begin = F.greatest("first", at)
+    length = F.least(F.col("first") + F.col("size"), at + F.col("cut")) - begin
+    found = parts.join(filled, ["s", "number"]).where(length > 0)
+    return found.select("slot", "source", "doc_id", "row", (begin - F.col("first")).alias("first"), length.alias("length"))
 
-    def shared(length):
-        return F.greatest(F.lit(0), F.least(F.col("first") + F.col("size"), at + length) - F.greatest("first", at))
 
-    taken = words.join(uses, ["s", "number"]).select(
-        "row", (F.col("whole") * shared(F.col("block")) + shared(F.col("part"))).alias("taken")
-    )
-    taken = taken.groupBy("row").agg(F.sum("taken").alias("taken"))
-    return known.join(taken, "row", "left").select(
+def mixed_pieces(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
+    """(slot, source, doc_id, first, length): the mix in the order of its slots (``slot``), word by word of each document."""
+    layout = laid_out(docs, block, repeats, None)
+    if layout.placed is None:
+        return layout.rows.select(F.col("size").alias("slot"), "source", "doc_id", F.col("size").alias("first"), F.col("size").alias("length"))
+    return pieces(layout).drop("row")
+
+
+def mix(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS, row: Column | None = None) -> DataFrame:
+    """Per row: doc_id, row, source, size, source_size, target, taken (the words of its pieces).
+
+    ``row`` numbers the rows of ``docs``; they get new numbers if it is not given.
+    """
+    layout = laid_out(docs, block, repeats, row)
+    if layout.placed is None:
+        return layout.rows.select("doc_id", "row", "source", "size", "source_size", "target", F.col("size").alias("taken"))
+    taken = pieces(layout).groupBy("row").agg(F.sum("length").alias("taken"))
+    return layout.rows.join(taken, "row", "left").select(
         "doc_id", "row", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
@@ -169,14 +195,15 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS)
     """
     columns = docs.columns
     held = docs.select(F.struct(*columns).alias("_doc"), "doc_id", "text", "source")
-    held = materialize(held.withColumn("_row_id", F.monotonically_increasing_id()), "mixing")
+    held = materialize(held.withColumn("_number", F.monotonically_increasing_id()), "mixing")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    chosen = mix(held, block, repeats).select(F.col("row").alias("_row_id"), times.alias("_times")).where("_times > 0")
-    repeated = held.select("_doc", "_row_id").join(chosen, "_row_id")
+    mixed = mix(held, block, repeats, F.col("_number"))
+    chosen = mixed.select(F.col("row").alias("_number"), times.alias("_times")).where("_times > 0")
+    repeated = held.select("_doc", "_number").join(chosen, "_number")
     return repeated.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
 
 
-# The words taken follow from the target and the place in the shuffled source alone.
+# The order of the slots is no part of the words taken, so SQL gets by without the schedule.
 SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),

@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     assert {*registry.QUERIES, "pipeline"} <= set(registered.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 # Near duplicates
@@ -127,6 +127,64 @@ def test_pairs_within_a_shared_template(spark):
     assert all(got[i] in (i, i // 2 * 2) for i in got)
 
 
+@pytest.mark.parametrize("own", [20, 40, 60])
+def test_recall_within_templates(spark, own):
+    # 90, 80 and 70 % of the words are shared by all texts; of the others, a fifth differs within a pair.
+    shared = [f"w{i}" for i in range(200 - own)]
+    rows = []
+    for pair in range(40):
+        mine = [f"p{pair}_{i}" for i in range(own)]
+        rows.append((2 * pair, " ".join(shared + mine)))
+        rows.append((2 * pair + 1, " ".join(shared + mine[: own - own // 5] + [f"q{pair}_{i}" for i in range(own // 5)])))
+    want = _classes(dict(rows), cws.SIMILARITY)
+    assert len(set(want.values())) == 40
+    got = {r["doc_id"]: r["class_id"] for r in cws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == c for i, c in want.items()) >= 79
+
+
+def test_blocks_meet_all_pairs_of_different_classes(spark):
+    draw = np.random.default_rng(8)
+    rows = [(k, i, int(draw.integers(3)) if i % 4 else 9) for k in range(3) for i in range(40 * k, 40 * k + 40)]
+    nodes = spark.createDataFrame([(i, [k]) for k, i, _ in rows], "node long, bands array<long>")
+    labels = spark.createDataFrame([(i, r) for _, i, r in rows], "node long, root long")
+    met = Counter()
+    for r in cws.blocks(cws.mixed_buckets(nodes, labels), 6).groupBy("key", "kind", "i", "j").agg(F.collect_list(F.struct("node", "root", "side")).alias("m")).collect():
+        apart = r["kind"] == "main" or r["i"] != r["j"]
+        met.update((min(x.node, y.node), max(x.node, y.node)) for x in r["m"] for y in r["m"] if x.node < y.node and x.root != y.root and not (apart and x.side == y.side))
+    want = {(a, b) for k, a, r in rows for q, b, s in rows if k == q and a < b and r != s}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_the_bound_loses_no_similar_pair():
+    import pandas as pd
+
+    draw = np.random.default_rng(9)
+    total, cells = 50, np.zeros(2 * cws.CELLS, np.int64)
+    idf = cws.scaled_idf(total, cells)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(80):
+        noise = draw.choice([0.0, 0.005, 0.02, 0.1])
+        text = " ".join(w if draw.random() >= noise else f"x{draw.integers(9)}" for w in base)
+        texts.append(text[: draw.integers(180, 240)])
+    found = []
+    for text in texts:
+        _, s, n = cws.shingles([text.encode()])
+        w = cws.weights(s, n, idf)
+        a, b = cws._cells(s)
+        rarity = np.maximum(idf[a], idf[b])
+        order = np.lexsort((s, -rarity))
+        first = order[np.cumsum(w[order]) - w[order] <= 0.2 * w.sum()]
+        found.append((s[first].tobytes(), w[first].tobytes(), float(w.sum()), float(w.sum() - w[first].sum()), float(rarity[first[-1]]), int(s[first[-1:]].view(np.int64)[0])))
+    members = pd.DataFrame(found, columns=["tokens", "weights", "size", "rest", "rarity", "token"])
+    blobs = [cws.shingles([t.encode()]) for t in texts]
+    blobs = [s.tobytes() + cws.weights(s, n, idf).tobytes() for _, s, n in blobs]
+    similar = np.array([[cws.weighted_jaccard(x, y) >= 0.8 for y in blobs] for x in blobs])
+    fits = cws.possible(members, 0.8)
+    np.fill_diagonal(fits, True)  # a text is never compared with itself
+    assert not (similar & ~fits).any() and similar.sum() > len(texts) and (fits.sum() < fits.size * 0.7)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = {r["node"]: r["root"] for r in cws.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -316,6 +374,27 @@ def test_every_prefix_of_the_schedule_is_near_the_weights(spark):
             assert all(abs(seen[i] - n * s.slots / total) < 12 for i, s in enumerate(plan))
 
 
+def test_pieces_fill_the_slots_of_the_schedule(spark):
+    sizes = {("a", 1): 40, ("a", 2): 7, ("a", 3): 0, ("b", 4): 90, ("b", 5): 33, (None, 6): 11, ("b", 7): 260}
+    given = spark.createDataFrame([(i, "w " * n, s) for (s, i), n in sizes.items()], "doc_id long, text string, source string")
+    plan = mixing.shares({"a": 47, "b": 383, None: 11}, block=16)
+    slots = {r["slot"]: (plan[r["s"]], r["rank"]) for r in mixing.schedule(spark, plan).collect()}
+    found = mixing.mixed_pieces(given, block=16).collect()
+    words = {
+        s: [(i, w) for _, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for (t, i) in sizes if t == s) for w in range(sizes[s, i])]
+        for s in ("a", "b", None)
+    }
+    want = Counter()
+    for slot, (share, rank) in slots.items():
+        at = rank % share.blocks * share.block
+        rest = share.take % share.size
+        end = rest if rank == share.slots - 1 and rest else at + share.block
+        want.update((slot, share.source, i, w) for i, w in words[share.source][at:end])
+    assert Counter((r["slot"], r["source"], r["doc_id"], r["first"] + k) for r in found for k in range(r["length"])) == want
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(given, block=16).collect()}
+    assert taken == {i: sum(n for (_, _, j, _), n in want.items() if j == i) for _, i in sizes}
+
+
 def test_mixed_documents(docs, texts):
     taken = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
     got = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())

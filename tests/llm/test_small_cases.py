@@ -10,7 +10,7 @@ from logloom.llm import chat, cws, langid, mixing, packing, rules, secrets, sket
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CLASH = ["label", "score", "row", "node", "size", "length", "start", "piece", "digest", "spans", "key", "s", "_part", "bands", "taken", "rank"]
+CLASH = ["label", "score", "row", "node", "size", "length", "start", "piece", "digest", "spans", "key", "s", "_part", "bands", "taken", "rank", "_row_id", "_doc", "_times", "_number", "query", "cell", "g"]
 
 ROWS = [
     (1, "one two three four five six seven eight nine ten", "en", "a", 48),
@@ -106,6 +106,34 @@ def test_stages_keep_the_columns(spark, docs, clashing, name, stage):
         assert {r["doc_id"] for r in got.collect()} <= {r[0] for r in ROWS}
 
 
+@pytest.mark.parametrize("end", [0, -1])
+def test_first_and_last_stage(spark, docs, clashing, labels, tmp_path, end):
+    stage = corpus_pipeline.STAGES[end][1]
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    found = [stage(spark, given, str(tmp_path)) for given in (docs, clashing)]
+    ids = [sorted((r["doc_id"] for r in f.collect()), key=str) for f in found]
+    assert ids[0] == ids[1]
+    if end == 0:
+        assert found[1].columns == clashing.columns
+        assert {2, 3, 4} <= set(ids[0])
+    else:
+        assert set(ids[0]) == {r[0] for r in ROWS}
+
+
+def test_a_column_row_id_has_no_meaning(spark):
+    same = spark.createDataFrame([(i, "one two three four", "en", "a", 18) for i in range(6)], DOCS).withColumn("_row_id", F.lit(7))
+    assert {r["taken"] for r in mixing.mix(same).collect()} == {4}
+    assert mixing.mixed_documents(same).count() == 6
+
+
+def test_tied_turns_go_by_text(spark):
+    rows = [("c", 1, role, text) for role in ("user", None) for text in ["b", "a", None, "d", "c", "e", "x" * 300 + "b", "x" * 300 + "a", "", "a"]]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(7)
+    got = [(r["role"], r["text"]) for r in chat.numbered(turns).orderBy("rank").collect()]
+    assert got == sorted(((r, t) for _, _, r, t in rows), key=lambda x: (x[0] is not None, x[0] or "", x[1] is not None, x[1] or ""))
+
+
 def test_chat_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [
