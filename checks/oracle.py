@@ -260,6 +260,12 @@ FROM raw_logs, (VALUES ('batch'), ('stream')) o(origin)""",
         f"""SELECT window_start, window_end, total_count, 'old' AS origin FROM ({_features(60, 'true')})
 WHERE NOT (window_start >= {START} AND window_end <= {END})
 UNION ALL SELECT window_start, window_end, total_count, 'new' FROM hourly""",
+    ),
+    "replaced_clusters": _with(["clusters"], "SELECT * FROM clusters"),
+    "analytics_totals": _with(
+        ["errors"],
+        f"""SELECT 'completed' AS status, true AS anomalies_agree, true AS clusters_agree, 0::BIGINT AS outside,
+  count(*) AS messages, min(timestamp) AS first_seen FROM errors WHERE {_IN_RANGE}""",
     ),
     "run_record": _with(
         ["log_entries"],
@@ -321,6 +327,13 @@ ORDER BY timestamp DESC NULLS LAST, log_file_id, line_number LIMIT 20 OFFSET 10"
         f"""SELECT {_ENTRY_COLUMNS} FROM (
   SELECT *, row_number() OVER (ORDER BY timestamp DESC NULLS LAST, log_file_id, line_number) - 1 AS place,
     count(*) OVER () AS n FROM log_entries)
+WHERE place >= n - n // 20 AND place < n - n // 20 + 100""",
+    ),
+    "stored_far_page": _with(
+        ["log_entries"],
+        f"""SELECT {_ENTRY_COLUMNS} FROM (
+  SELECT *, row_number() OVER (ORDER BY timestamp DESC NULLS LAST, log_file_id, line_number) - 1 AS place,
+    count(*) OVER () AS n FROM log_entries)
 WHERE place >= n - n // 20 AND place < n - n // 20 + 100""",
     ),
     "entries_total": _with(["log_entries", "log_files"], f"SELECT count(*) AS total {_FILTERED}"),
@@ -482,4 +495,16 @@ FROM clusters ORDER BY count DESC, label LIMIT 10""",
         f"""SELECT * FROM ({_features(60, 'true')})
 WHERE window_end <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM log_entries)""",
     ),
+    "stream_late_windows": _with(
+        ["log_entries"],
+        f"""SELECT * FROM ({_features(60, 'true')}) WHERE window_start IN (
+  SELECT make_timestamp(epoch_us(timestamp) // 3600000000 * 3600000000) AS start FROM log_entries
+  WHERE id % 50 = 0 AND timestamp IS NOT NULL
+    AND start + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM log_entries WHERE id % 50 <> 0))
+UNION ALL
+SELECT * FROM ({_features(60, 'id % 50 <> 0')}) WHERE window_start NOT IN (
+  SELECT make_timestamp(epoch_us(timestamp) // 3600000000 * 3600000000) AS start FROM log_entries
+  WHERE id % 50 = 0 AND timestamp IS NOT NULL
+    AND start + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM log_entries WHERE id % 50 <> 0))""",
+    ),
 }

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from logloom.functions.text import tokens
 from logloom.operators import aggregates, filters, iforest, joins, paging, textcluster, windows
 from logloom.operators.normalize import normalize
-from logloom.plans import analytics, dashboard
+from logloom.plans import analytics, dashboard, listings
 from logloom.plans.ingest import ingest
 from logloom.session import materialize, scratch_path
 from logloom.sources import logs, tables
-from logloom.schemas import project
+from logloom.schemas import LOG_ENTRIES, columns, project
 from logloom.streaming import jobs
 
 from . import views
@@ -157,6 +157,40 @@ def replace_range(spark, sf_dir):
     return tables.replace_anomalies(old, new, filters.naive(START), filters.naive(END))
 
 
+@query
+def replaced_clusters(spark, sf_dir):
+    """Clusters published after others: the earlier ones are gone."""
+    root = scratch_path(spark, "store")
+    found = fixed_clusters(spark, sf_dir).withColumns(
+        {"pipeline_run_id": F.lit("run-1"), "created_at": F.lit(None).cast("timestamp_ntz")}
+    )
+    found = materialize(found, "clusters")
+    tables.replace_clusters(found.withColumn("count", F.lit(0).cast("bigint")), root)
+    tables.replace_clusters(found, root)
+    return tables.load(spark, root, "error_clusters").drop("pipeline_run_id", "created_at")
+
+
+@query
+def analytics_totals(spark, sf_dir):
+    """A run over a time range, run again: what is stored agrees with its record and covers every error."""
+    root, every = scratch_path(spark, "store"), entries(spark, sf_dir)
+    options = {"start": START, "end": END, "minutes": 60, "restarts": 2}
+    analytics.run_analytics(spark, root, every, **options)
+    run = analytics.run_analytics(spark, root, every, **options).first()
+    found, clusters = tables.load(spark, root, "anomalies"), tables.load(spark, root, "error_clusters")
+    outside = (F.col("window_start") < filters.naive(START)) | (F.col("window_start") > filters.naive(END))
+    stored = found.agg(F.count("*").alias("anomalies"), F.count_if(outside).alias("outside"))
+    summed = clusters.agg(F.count("*").alias("clusters"), F.sum("count").alias("messages"), F.min("first_seen").alias("first_seen"))
+    return summed.withColumns({c: F.lit(v) for c, v in stored.first().asDict().items()}).select(
+        F.lit(run["status"]).alias("status"),
+        (F.col("anomalies") == run["anomalies_detected"]).alias("anomalies_agree"),
+        (F.col("clusters") == run["clusters_created"]).alias("clusters_agree"),
+        "outside",
+        "messages",
+        "first_seen",
+    )
+
+
 @query
 def run_record(spark, sf_dir):
     root = scratch_path(spark, "store")
@@ -323,6 +357,17 @@ def entries_far_page(spark, sf_dir):
     return project(paging.newest_first(every, far, 100), "log_entries")
 
 
+@query
+def stored_far_page(spark, sf_dir):
+    """The same page of stored entries, found by the counts of the days."""
+    every, root = entries(spark, sf_dir), scratch_path(spark, "store")
+    absent = {c: F.lit(None) for c in columns(LOG_ENTRIES) if c not in every.columns}
+    tables.append_entries(every.withColumns(absent), root, "one", cluster_by_day=True)
+    total = every.count()
+    page = listings.stored_entries(spark, root, total - total // 20, 100)
+    return page.items.select("log_file_id", "line_number", "timestamp", "level", "service", "message", "parse_status")
+
+
 @query
 def entries_total(spark, sf_dir):
     return aggregates.total(_filtered(spark, sf_dir))
@@ -630,3 +675,17 @@ def stream_window_features(spark, sf_dir):
     )
     run.awaitTermination()
     return spark.read.schema(features.schema).parquet(path)
+
+
+@query
+def stream_late_windows(spark, sf_dir):
+    """Every fiftieth entry arrives in a second batch; the hours it is too late for are counted again."""
+    every = entries(spark, sf_dir).select("id", "timestamp", "level", "service")
+    first, second, path, root = every.where("id % 50 <> 0"), every.where("id % 50 = 0"), scratch_path(spark, "arrived"), scratch_path(spark, "store")
+    late_of = scratch_path(spark, "progress")
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(every.schema).parquet(path)
+        jobs.stream_late_windows(stream, root, late_of, minutes=60).awaitTermination()
+    features = windows.window_features(first, minutes=60)
+    return jobs.repair_windows(features, jobs.late_windows(spark, root), every, minutes=60)

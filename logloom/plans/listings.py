@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, time
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..operators import filters, paging
 from ..operators.aggregates import total
-from ..schemas import project
+from ..schemas import LOG_ENTRIES, project
+from ..sources import tables
 
 
 class Page(NamedTuple):
@@ -32,6 +35,30 @@ def log_entries(
     return _page(found, paging.newest_first, "log_entries", offset, limit)
 
 
+def stored_entries(spark: SparkSession, root: str, offset: int = 0, limit: int = paging.DEFAULT_LIMIT) -> Page:
+    """All entries of a store, newest first; only the days that the page lies in are read.
+
+    The counts of the days, at most one row per calendar day, say how many entries come before each.
+    """
+    paging.check_page(offset, limit)
+    days = tables.day_counts(spark, root)
+    newer = Window.orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = days.withColumn("before", F.coalesce(F.sum("rows").over(newer), F.lit(0)))
+    hit = placed.where((F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset))
+    found = hit.orderBy("before").collect()  # no more days than the page has rows
+    dates = [r["day"] for r in found if r["day"] is not None]
+    items = spark.createDataFrame([], LOG_ENTRIES)
+    if dates:
+        start, end = datetime.combine(min(dates), time.min), datetime.combine(max(dates), time.max)
+        items = filters.by_time(tables.entries_table(spark, root, start, end), start, end)
+    if len(dates) < len(found):
+        undated = tables.undated_entries(spark, root)
+        items = items.unionByName(undated) if dates else undated
+    page = paging.newest_first(items, offset - found[0]["before"] if found else 0, limit)
+    every = days.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total")).first()["total"]
+    return Page(project(page, "log_entries"), every, offset, limit)
+
+
 def log_files(
     files: DataFrame, status: str | None = None, offset: int = 0, limit: int = paging.DEFAULT_LIMIT
 ) -> Page:

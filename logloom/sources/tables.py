@@ -36,7 +36,7 @@ _ENTRY_FILES = (
 )
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet folder, or no rows if nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -55,7 +55,7 @@ def append_rows(rows: DataFrame, root: str, name: str) -> None:
 
 def entry_files(spark: SparkSession, root: str) -> DataFrame:
     """The data files of the entries that count, with what they hold."""
-    listed = _read(spark, f"{root}/entry_files", _ENTRY_FILES)
+    listed = read_or_none(spark, f"{root}/entry_files", _ENTRY_FILES)
     state = F.max_by(F.struct(*[c for c in listed.columns if c != "path"]), "removed").alias("state")
     return listed.groupBy("path").agg(state).select("path", "state.*").where("NOT removed")
 
@@ -92,6 +92,26 @@ def entries_table(spark: SparkSession, root: str, start=None, end=None, level: s
     return _of_paths(spark, root, [r["path"] for r in files.select("path").collect()])
 
 
+def undated_entries(spark: SparkSession, root: str) -> DataFrame:
+    files = entry_files(spark, root).where("undated > 0")
+    return _of_paths(spark, root, [r["path"] for r in files.select("path").collect()]).where(F.col("timestamp").isNull())
+
+
+def day_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(day, rows): the stored entries of each day, undated ones with a null day; written out.
+
+    Days with a folder are counted from the list of data files; only far-off dates are read.
+    """
+    files = materialize(entry_files(spark, root), "entry-files")
+    counts = files.where("event_date IS NOT NULL").groupBy(F.col("event_date").alias("day")).agg(F.sum("rows").alias("rows"))
+    undated = files.agg(F.sum("undated").alias("rows")).where("rows > 0").select(F.lit(None).cast("date").alias("day"), "rows")
+    far = files.where("event_date IS NULL AND rows > undated").select("path")
+    dated = _of_paths(spark, root, [r["path"] for r in far.collect()]).where(F.col("timestamp").isNotNull())
+    dated = dated.groupBy(F.col("timestamp").cast("date").alias("day")).agg(F.count("*").alias("rows"))
+    both = counts.unionByName(dated).groupBy("day").agg(F.sum("rows").alias("rows"))
+    return materialize(both.unionByName(undated), "days")
+
+
 def _store(entries: DataFrame, root: str) -> None:
     """Write entries with their ``ingest_id`` into the folders of their days."""
     day = F.col("timestamp").cast("date")
@@ -222,7 +242,7 @@ def compact(spark: SparkSession, root: str, before: date | datetime | None = Non
 
 def files_history(spark: SparkSession, root: str) -> DataFrame:
     """Every recorded state of every file."""
-    return _read(spark, f"{root}/log_files", schemas.LOG_FILES)
+    return read_or_none(spark, f"{root}/log_files", schemas.LOG_FILES)
 
 
 def _last_state(history: DataFrame, at: Column) -> DataFrame:
@@ -276,7 +296,7 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name == "log_files":
         return current_files(files_history(spark, root))
     if name == "pipeline_runs":
-        return current_runs(_read(spark, f"{root}/{name}", schemas.PIPELINE_RUNS))
+        return current_runs(read_or_none(spark, f"{root}/{name}", schemas.PIPELINE_RUNS))
     return _current(spark, root, name)[1]
 
 

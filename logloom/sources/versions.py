@@ -33,8 +33,17 @@ def latest(spark: SparkSession, root: str, name: str) -> tuple[int, str]:
     numbers = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
     if not numbers:
         return 0, ""
+    return max(numbers), content_of(spark, root, name, max(numbers))
+
+
+def content_of(spark: SparkSession, root: str, name: str, number: int) -> str:
+    """The content of one version; an empty text if there is no such version (any more)."""
+    fs, folder = _folder(spark, root, name)
+    path, content = _file(spark, folder, number), ""
     for _ in range(20):
-        stream = fs.open(_file(spark, folder, max(numbers)))
+        if not fs.exists(path):
+            return ""
+        stream = fs.open(path)
         try:
             content = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -42,7 +51,7 @@ def latest(spark: SparkSession, root: str, name: str) -> tuple[int, str]:
         if content:
             break
         time.sleep(0.1)  # made, but not written yet
-    return max(numbers), content
+    return content
 
 
 def claim(spark: SparkSession, root: str, name: str, after: int, content: str) -> bool:

@@ -1,17 +1,21 @@
-"""Incremental ingest and incremental window features."""
+"""Incremental ingest, incremental window features, and the repair of windows that got late entries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.windows import WINDOW_MINUTES, bucket, finish_windows, window_counts
+from ..operators.filters import with_time
+from ..operators.joins import BROADCAST_ROWS, entries_in_windows
+from ..operators.windows import WINDOW_MINUTES, bucket, finish_windows, window_counts, window_features
 from ..plans.ingest import record_refused, take_in
-from ..session import materialize
-from ..sources import logs
+from ..session import at_most, materialize
+from ..sources import logs, versions
+from ..sources.tables import read_or_none
 
 
 def stream_ingest(
@@ -65,7 +69,7 @@ def stream_window_features(
 ) -> DataFrame:
     """Window features of a stream of entries, each window once it is closed.
 
-    Entries later than the watermark are dropped. Counting per (window, service) first keeps the
+    Entries later than the watermark are dropped; ``stream_late_windows`` tells their windows. Counting per (window, service) first keeps the
     distinct services exact, lets several tasks share a busy window, and bounds the state of a
     window by its services.
     """
@@ -80,3 +84,55 @@ def stream_window_features(
         *[F.sum(c).alias(c) for c in counts], F.count("service").alias("unique_services")
     )
     return finish_windows(counted)
+
+
+_LATE = "window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ, rows BIGINT, batch BIGINT"
+
+
+def stream_late_windows(
+    entries: DataFrame, root: str, checkpoint: str, watermark: str = "10 minutes", minutes: int = WINDOW_MINUTES, **trigger
+) -> StreamingQuery:
+    """Put aside the windows of entries that come too late for ``stream_window_features``, with their number.
+
+    An entry is late if its window has ended when its batch begins: at the latest time of the batches before,
+    less the watermark. That time is kept as a version per batch, and a batch writes a folder of its own, so a
+    batch that is run again gives the same list once.
+    """
+    name = "late_windows"
+
+    def put_aside(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        dated = materialize(with_time(batch).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp")), "dated")
+        before = versions.content_of(session, root, name, batch_id)  # made by the batch before
+        known = datetime.fromisoformat(before) if before not in ("", "none") else None
+        if known is not None:
+            windows = dated.groupBy(bucket(F.col("timestamp"), minutes).alias("window")).agg(F.count("*").alias("rows"))
+            windows = windows.select(
+                F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+                "rows",
+            )
+            closed = F.lit(str(known)).cast("timestamp_ntz") - F.expr(f"INTERVAL {watermark}")
+            windows.where(F.col("window_end") <= closed).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        latest = max((t for t in (known, dated.agg(F.max("timestamp")).first()[0]) if t is not None), default=None)
+        versions.claim(session, root, name, batch_id, "none" if latest is None else latest.isoformat())
+
+    writer = entries.writeStream.foreachBatch(put_aside).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def late_windows(spark: SparkSession, root: str) -> DataFrame:
+    """The windows that got late entries, with how many: window_start, window_end, rows."""
+    found = read_or_none(spark, f"{root}/late_windows", _LATE)
+    return found.groupBy("window_start", "window_end").agg(F.sum("rows").alias("rows"))
+
+
+def repair_windows(
+    features: DataFrame, late: DataFrame, entries: DataFrame, minutes: int = WINDOW_MINUTES, bound: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``features`` with the late windows counted anew from all their ``entries``; only these are read again."""
+    late = materialize(late.select("window_start", "window_end"), "late")
+    inside = entries_in_windows(late, entries, minutes, bound).drop("window_start", "window_end")
+    side = F.broadcast(late) if at_most(late, bound) else late
+    kept = features.join(side, ["window_start", "window_end"], "left_anti").select(features.columns)
+    return kept.unionByName(window_features(inside, minutes=minutes).select(features.columns))

@@ -10,7 +10,7 @@ from logloom.operators.windows import window_features
 from logloom.plans import analytics
 from logloom.plans import ingest as jobs
 from logloom.sources import logs, tables
-from logloom.streaming.jobs import stream_ingest, stream_window_features
+from logloom.streaming.jobs import late_windows, repair_windows, stream_ingest, stream_late_windows, stream_window_features
 
 # One line of each family and one that fits none.
 SAMPLE = """2024-05-06T07:08:09Z WARN tide-gauge sensor drifts
@@ -267,3 +267,31 @@ def test_stream_windows(spark, tmp_path):
     repaired = {r["window_start"]: r for r in window_features(everything).collect()}
     assert repaired[at(0)]["total_count"] == 3
     assert all(repaired[w]["total_count"] == got[w]["total_count"] for w in got if w != at(0))
+
+
+def test_late_windows_are_put_aside_and_repaired(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "store")
+    at = lambda m, s=0: datetime(2025, 1, 1, 0, m, s)
+    batches = [
+        [(None, "INFO", "a")],
+        [(at(0), "ERROR", "a"), (at(2), "INFO", None), (at(20), "DEBUG", "a")],
+        [(at(0, 30), "ERROR", "late"), (at(0, 40), "INFO", "late"), (at(15), "WARN", "a"), (at(40), "INFO", "z")],
+        [(at(1), "INFO", "later"), (at(2), "INFO", "later"), (at(29), "INFO", "in time")],
+    ]
+    for _ in feed(spark, source, batches):
+        stream = spark.readStream.schema(STREAM_SCHEMA).parquet(str(source))
+        stream_late_windows(stream, root, str(tmp_path / "progress")).awaitTermination()
+    late = {r["window_start"]: r["rows"] for r in late_windows(spark, root).collect()}
+    assert late == {at(0): 3, at(2): 1, at(28): 1}
+
+    everything = spark.read.schema(STREAM_SCHEMA).parquet(str(source))
+    streamed = window_features(everything.where("service IS NULL OR service NOT LIKE 'late%'"))
+    repaired = repair_windows(streamed, late_windows(spark, root), everything)
+    assert sorted(repaired.collect()) == sorted(window_features(everything).collect())
+    assert late_windows(spark, str(tmp_path / "none")).count() == 0
+    assert sorted(repair_windows(streamed, late_windows(spark, str(tmp_path / "none")), everything).collect()) == sorted(streamed.collect())
+
+    # A batch that is run again lists its windows once.
+    stream = spark.readStream.schema(STREAM_SCHEMA).parquet(str(source))
+    stream_late_windows(stream, root, str(tmp_path / "again")).awaitTermination()
+    assert {r["window_start"]: r["rows"] for r in late_windows(spark, root).collect()} == late

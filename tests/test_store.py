@@ -109,6 +109,27 @@ def test_a_rewrite_that_comes_second_starts_over(spark, tmp_path, monkeypatch):
     assert len(calls) == 3 and tables.load(spark, root, "log_entries").count() == 0
 
 
+def test_pages_read_the_days_they_lie_in(spark, tmp_path):
+    from logloom.plans import listings
+
+    root = str(tmp_path)
+    times = [day(n, h) for n in range(5) for h in range(6)] + [None] * 7 + [datetime(1500, 1, 1), datetime(2999, 1, 1), datetime(1500, 1, 1)]
+    tables.append_entries(rows(spark, times), root, "one")
+    tables.append_entries(rows(spark, [day(2, 3), None], 2), root, "two")
+    order = sorted(
+        [(1, i + 1, t) for i, t in enumerate(times)] + [(2, 1, day(2, 3)), (2, 2, None)],
+        key=lambda r: (r[2] is None, datetime.max - (r[2] or datetime.max), r[0], r[1]),
+    )
+    for offset, limit in ((0, 1), (0, 4), (6, 7), (20, 5), (30, 10), (len(order) - 3, 50), (len(order), 5), (5, 500)):
+        page = listings.stored_entries(spark, root, offset, limit)
+        got = [(r["log_file_id"], r["line_number"], r["timestamp"]) for r in page.items.collect()]
+        assert got == order[offset : offset + limit] and page.total == len(order)
+    # Two days back: its own folder, and at most that of the dates without one.
+    read = [f for f in listings.stored_entries(spark, root, 14, 3).items.inputFiles()]
+    assert {f.split("event_date=")[1].split("/")[0] for f in read} - {"__HIVE_DEFAULT_PARTITION__"} == {str(day(2).date())}
+    assert listings.stored_entries(spark, str(tmp_path / "none")).total == 0
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path)
     assert versions.latest(spark, root, "t") == (0, "")
