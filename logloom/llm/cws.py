@@ -12,9 +12,8 @@ a bucket. There each is first compared with the bucket's hub, which is another t
 the exact weighted Jaccard similarity. Linked texts form a class by connected components; a bucket
 within one class is done, which spares the pairs of a group of copies. In all other buckets (a shared
 template brings texts together that are not similar) every two texts of different classes are compared,
-block by block inside the tasks: an exact bound from the rarest shingles of both rules out nearly all
-that are not similar, and only the rest become pairs to verify. So every similar pair that meets in a
-bucket ends in one class. The members of a bucket's largest class are not compared with each other.
+block by block inside the tasks, by matrix products that give an upper bound of what they share; only the
+few that pass become pairs to verify. So every similar pair that meets in a bucket ends in one class. The members of a bucket's largest class are not compared with each other.
 
 Equal texts are always one class, and so are texts that differ only in case and white space. Null texts
 count as empty; all texts without a word are one class. Repeated rows are classed like their first. A null
@@ -358,35 +357,6 @@ def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(labels.join(merged, "root", "left").select("node", F.coalesce("into", "root").alias("root")), "labels")
 
 
-def prefixes(found: DataFrame, idf, similarity: float) -> DataFrame:
-    """The rarest shingles of each text, up to (1 - similarity) of its weight and the one beyond it.
-
-    Per row (node, text): ``tokens`` and ``weights`` as bytes, ``size`` of the whole text, ``rest`` that is
-    left out, and the last shingle taken, as (``rarity``, ``token``): all texts take theirs in one order.
-    """
-    schema = "node long, tokens binary, weights binary, size double, rest double, rarity double, token long"
-
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for node, blob in zip(batch["node"].tolist(), batch["features"]):
-                n = len(blob) // 12
-                s, w = np.frombuffer(blob, _U, n), np.frombuffer(blob, np.float32, n, n * 8)
-                a, b = _cells(s)
-                rarity = np.maximum(idf.value[a], idf.value[b])
-                order = np.lexsort((s, -rarity))
-                before = np.cumsum(w[order], dtype=np.float64) - w[order]
-                size = float(w.sum(dtype=np.float64))
-                first = order[before <= (1 - similarity) * size]
-                taken = float(w[first].sum(dtype=np.float64))
-                last = first[-1] if n else 0
-                ends = (float(rarity[last]), int(s[last : last + 1].view(np.int64)[0])) if n else (0.0, 0)
-                out.append((node, s[first].tobytes(), w[first].tobytes(), size, size - taken, *ends))
-            yield pd.DataFrame(out, columns=["node", "tokens", "weights", "size", "rest", "rarity", "token"])
-
-    return found.select("node", "features").mapInPandas(cut, schema)
-
-
 def mixed_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, root) of the buckets that hold several classes, with their largest class ``main``, its
     members ``n_main`` and those of all others ``n_other``."""
@@ -422,53 +392,80 @@ def blocks(buckets: DataFrame, block: int) -> DataFrame:
 
 
 def possible(members: pd.DataFrame, similarity: float) -> np.ndarray:
-    """Which two members (rows with ``tokens``, ``weights``, ``size``, ``rest`` and so on) can be similar.
+    """Which two members (rows with ``group`` and ``features``) of one group can be similar.
 
-    What two texts share weighs no more than the shared part of their rarest shingles and all the rest of
-    the one whose rarest shingles end first. The root of a product stands for the lesser weight: it is not
-    less, and a matrix product sums it for all pairs at once.
+    The root of a product stands for the lesser weight of a shingle that two texts share: it is not less, and
+    matrix products sum it for all pairs at once. Nearly all pairs that pass are similar.
     """
-    n = len(members)
-    tokens = np.concatenate([np.frombuffer(t, _U) for t in members["tokens"]])
-    roots = np.sqrt(np.concatenate([np.frombuffer(w, np.float32) for w in members["weights"]]))
-    owner = np.repeat(np.arange(n), [len(t) // 8 for t in members["tokens"]])
-    _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    often = counts[column] > 1
-    column, roots, owner = np.unique(column[often], return_inverse=True)[1], roots[often], owner[often]
+    n, group = len(members), members["group"].to_numpy()
+    lengths = np.array([len(f) // 12 for f in members["features"]], np.int64)
+    tokens = np.concatenate([np.frombuffer(f, _U, m) for f, m in zip(members["features"], lengths)])
+    weight = np.concatenate([np.frombuffer(f, np.float32, m, m * 8) for f, m in zip(members["features"], lengths)])
+    owner = np.repeat(np.arange(n), lengths)
+    size = np.bincount(owner, weight, n)
+    tokens = tokens + mix(group.view(_U))[owner]  # a shingle of another group is another one
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner, roots = tokens[order], owner[order], np.sqrt(weight[order])
+    new = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
+    counts = np.diff(np.r_[np.flatnonzero(new), len(tokens)])
+    often = np.repeat(counts > 1, counts)  # what only one member has is shared with nobody
+    owner, roots = owner[often], roots[often]
+    column = np.repeat(np.arange((counts > 1).sum()), counts[counts > 1])
     shared = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, roots, owner = column[order], roots[order], owner[order]
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4_096):
         a, b = np.searchsorted(column, [first, first + 4_096])
-        part = np.zeros((n, 4_096), np.float32)
+        part = np.zeros((n, min(4_096, int(column[b - 1]) + 1 - first)), np.float32)
         part[owner[a:b], column[a:b] - first] = roots[a:b]
         shared += part @ part.T
-    rarity, token = members["rarity"].to_numpy(), members["token"].to_numpy().view(_U)
-    place = np.empty(n, np.int64)
-    place[np.lexsort((token, -rarity))] = np.arange(n)
-    rest, size = members["rest"].to_numpy(), members["size"].to_numpy()
-    left = np.where(place[:, None] <= place[None, :], rest[:, None], rest[None, :])
-    both = size[:, None] + size[None, :]
-    return shared + left >= similarity / (1 + similarity) * both * (1 - 1e-4)
+    least = similarity / (1 + similarity) * (1 - 1e-4) * (size[:, None] + size[None, :])
+    return (shared >= least) & (group[:, None] == group[None, :])
 
 
-def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, idf, similarity: float, block: int = BLOCK) -> DataFrame:
+def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different classes that share a bucket and can be similar."""
     grouped = materialize(blocks(mixed_buckets(nodes, labels), block), "blocks")
-    wanted = found.join(grouped.select("node").distinct(), "node", "left_semi")
-    described = grouped.join(materialize(prefixes(wanted, idf, similarity), "prefixes"), "node")
+    described = grouped.join(found, "node").select(
+        F.xxhash64("key", "kind", "i", "j").alias("group"),
+        ((F.col("kind") == "main") | (F.col("i") != F.col("j"))).alias("apart"),
+        "node", "root", "side", "features",
+    )
 
-    def compare(group: pa.Table) -> pa.Table:
-        members = group.to_pandas()
+    def pairs_of(members: pd.DataFrame) -> pa.RecordBatch:
         root, side, node = (members[c].to_numpy() for c in ("root", "side", "node"))
         differ = root[:, None] != root[None, :]
-        if members["kind"].iloc[0] == "main" or members["i"].iloc[0] != members["j"].iloc[0]:
-            differ &= side[:, None] != side[None, :]  # two blocks meet here; each on its own is another group
+        # Where two blocks meet, each of them on its own is another group.
+        differ &= ~members["apart"].to_numpy()[:, None] | (side[:, None] != side[None, :])
         x, y = np.nonzero(np.triu(possible(members, similarity) & differ, 1))
         ends = np.sort(np.stack([node[x], node[y]]), axis=0)
-        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
-    return described.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    def compare(batches):
+        """Whole groups at a time, several small ones together."""
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
+            if held.num_rows < 2 * block:
+                continue
+            group = held.column("group").to_numpy()
+            last = starts_of(group)[-1]
+            yield from parts(held.slice(0, last))
+            held = held.slice(last)
+        if held is not None:
+            yield from parts(held)
+
+    def parts(table: pa.Table):
+        if not table.num_rows:
+            return
+        members = table.to_pandas()
+        first, bounds = 0, [*starts_of(members["group"].to_numpy()).tolist(), len(members)]
+        for start, end in zip(bounds, bounds[1:]):
+            if end - first > block and start > first:
+                yield pairs_of(members.iloc[first:start])
+                first = start
+        yield pairs_of(members.iloc[first:])
+
+    dealt = described.repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: int) -> DataFrame:
@@ -495,7 +492,7 @@ def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: i
 
     labels = components(materialize(links(pairs, found, similarity), "links"))
     labels = materialize(involved.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-    more = block_pairs(nodes, labels, found, idf, similarity).join(pairs, ["a", "b"], "left_anti")
+    more = block_pairs(nodes, labels, found, similarity).join(pairs, ["a", "b"], "left_anti")
     labels = joined(labels, links(materialize(more, "pairs"), found, similarity))
     rooted = texts.join(labels, "node", "left").select("digest", "first_doc", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))

@@ -167,22 +167,18 @@ def test_the_bound_loses_no_similar_pair():
         noise = draw.choice([0.0, 0.005, 0.02, 0.1])
         text = " ".join(w if draw.random() >= noise else f"x{draw.integers(9)}" for w in base)
         texts.append(text[: draw.integers(180, 240)])
-    found = []
-    for text in texts:
-        _, s, n = cws.shingles([text.encode()])
-        w = cws.weights(s, n, idf)
-        a, b = cws._cells(s)
-        rarity = np.maximum(idf[a], idf[b])
-        order = np.lexsort((s, -rarity))
-        first = order[np.cumsum(w[order]) - w[order] <= 0.2 * w.sum()]
-        found.append((s[first].tobytes(), w[first].tobytes(), float(w.sum()), float(w.sum() - w[first].sum()), float(rarity[first[-1]]), int(s[first[-1:]].view(np.int64)[0])))
-    members = pd.DataFrame(found, columns=["tokens", "weights", "size", "rest", "rarity", "token"])
     blobs = [cws.shingles([t.encode()]) for t in texts]
     blobs = [s.tobytes() + cws.weights(s, n, idf).tobytes() for _, s, n in blobs]
+    members = pd.DataFrame({"features": [*blobs[:79], b""], "group": 5})
+    blobs[79] = b""
     similar = np.array([[cws.weighted_jaccard(x, y) >= 0.8 for y in blobs] for x in blobs])
     fits = cws.possible(members, 0.8)
-    np.fill_diagonal(fits, True)  # a text is never compared with itself
-    assert not (similar & ~fits).any() and similar.sum() > len(texts) and (fits.sum() < fits.size * 0.7)
+    np.fill_diagonal(similar, False)  # a text is never compared with itself
+    np.fill_diagonal(fits, False)
+    apart = cws.possible(members.assign(group=np.arange(80) // 40), 0.8)
+    np.fill_diagonal(apart, False)
+    assert (apart[:40, :40] == fits[:40, :40]).all() and not apart[:40, 40:].any()
+    assert not (similar & ~fits).any() and similar.sum() > len(texts) and fits.sum() < 1.2 * similar.sum()
 
 
 def test_components_of_a_chain(spark):
