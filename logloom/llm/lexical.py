@@ -68,7 +68,7 @@ def item_terms(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(terms).alias("term")).distinct()
 
 
-def count_terms(docs: DataFrame, numbers) -> DataFrame:
+def count_terms(docs: DataFrame, numbers, block: int = BLOCK) -> DataFrame:
     """One row per block of documents: block, ids, n (terms with repeats), and its list entries.
 
     The entries are arrays of equal length as bytes: place of the document in the block (32 bits), number
@@ -94,14 +94,14 @@ def count_terms(docs: DataFrame, numbers) -> DataFrame:
                 entries.append((keys, tf.astype(np.int64)))
                 found.clear()
 
-        def row(block):
+        def row(number):
             fold()
             keys = np.concatenate([k for k, _ in entries]) if entries else np.zeros(0, np.int64)
             tf = np.concatenate([c for _, c in entries]) if entries else np.zeros(0, np.int64)
             held = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block], pa.int64()),
+                    pa.array([number], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
                     pa.array([sizes], pa.list_(pa.int64())),
                     pa.array([(keys >> 32).astype("<i4").tobytes()], pa.binary()),
@@ -114,17 +114,16 @@ def count_terms(docs: DataFrame, numbers) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunked([t or "" for t in texts], 1 << 20):
-                for first in range(a, b, BLOCK):
-                    for i in range(first, min(b, first + BLOCK)):
-                        words = terms_of(texts[i])
-                        known = [v for v in map(number_of, words) if v is not None]
-                        found.append(np.array(known, np.int64) | (len(sizes) << 32))
-                        sizes.append(len(words))
-                        ids.append(batch.column("doc_id").slice(i, 1))
-                        if len(sizes) == BLOCK:
-                            yield row(serial)
-                            serial += 1
-                            ids, sizes, entries = [], [], []
+                for i in range(a, b):
+                    words = terms_of(texts[i])
+                    known = [v for v in map(number_of, words) if v is not None]
+                    found.append(np.array(known, np.int64) | (len(sizes) << 32))
+                    sizes.append(len(words))
+                    ids.append(batch.column("doc_id").slice(i, 1))
+                    if len(sizes) == block:
+                        yield row(serial)
+                        serial += 1
+                        ids, sizes, entries = [], [], []
                 fold()
         if sizes:
             yield row(serial)
@@ -159,8 +158,8 @@ def term_statistics(blocks: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 class Plan:
     """What the workers need of a pass: weights, owners, the items of each term, and bounds. Sent to them once."""
 
-    def __init__(self, item_of: np.ndarray, term_of: np.ndarray, items: int, terms: int, documents: int, words: int, df: np.ndarray, most: np.ndarray):
-        self.items, self.documents, self.words = items, documents, words
+    def __init__(self, item_of: np.ndarray, term_of: np.ndarray, items: int, terms: int, documents: int, words: int, df: np.ndarray, most: np.ndarray, block: int = BLOCK, bundle: int = BUNDLE):
+        self.items, self.documents, self.words, self.block, self.bundle = items, documents, words, block, bundle
         self.weights = np.array([weight(documents, f) if f else 0 for f in df.tolist()], np.int64)
         order = np.lexsort((np.arange(terms), -self.weights))
         share = np.cumsum(df[order]) / max(1, df.sum())
@@ -176,7 +175,7 @@ class Plan:
             np.add.at(self.rest[stage], item_of[later], bound[term_of[later]])
 
     def bundles(self) -> int:
-        return -(-self.items // BUNDLE)
+        return -(-self.items // self.bundle)
 
 
 def owner_lists(blocks: DataFrame, plan, stage: int) -> DataFrame:
@@ -185,7 +184,7 @@ def owner_lists(blocks: DataFrame, plan, stage: int) -> DataFrame:
     def build(batches):
         p = plan.value
         bundles = np.zeros((p.bundles(), len(p.owner)), bool)
-        bundles[p.item_of // BUNDLE, np.repeat(np.arange(len(p.owner)), np.diff(p.first))] = True
+        bundles[p.item_of // p.bundle, np.repeat(np.arange(len(p.owner)), np.diff(p.first))] = True
         for batch in batches:
             for row in batch.to_pylist():
                 doc, term, tf = _entries(row)
@@ -217,12 +216,12 @@ def visit(carried: DataFrame, lists: DataFrame, plan, stage: int, bound) -> Data
     def add(bundles: pa.Table, owned: pa.Table) -> pa.Table:
         p = plan.value
         head = (bundles if bundles.num_rows else owned).select(["block", "bundle"]).slice(0, 1).to_pylist()[0]
-        low = head["bundle"] * BUNDLE
-        high = min(p.items, low + BUNDLE)
-        score = np.zeros((high - low) * BLOCK, np.int64)
+        low = head["bundle"] * p.bundle
+        high = min(p.items, low + p.bundle)
+        score = np.zeros((high - low) * p.block, np.int64)
         for row in bundles.to_pylist():
             item, doc = np.frombuffer(row["item"], "<u2").astype(np.int64), np.frombuffer(row["doc"], "<u2")
-            score[item * BLOCK + doc] = np.frombuffer(row["score"], "<i8")
+            score[item * p.block + doc] = np.frombuffer(row["score"], "<i8")
         for row in owned.to_pylist():
             doc, term, gain = np.frombuffer(row["doc"], "<i4"), np.frombuffer(row["term"], "<i4"), np.frombuffer(row["gain"], "<i8")
             fan = p.first[term + 1] - p.first[term]
@@ -233,8 +232,8 @@ def visit(carried: DataFrame, lists: DataFrame, plan, stage: int, bound) -> Data
                 place = np.arange(len(entry)) - np.repeat(np.cumsum(f) - f, f)
                 item = p.item_of[p.first[term[entry]] + place]
                 here = np.flatnonzero((item >= low) & (item < high))
-                np.add.at(score, (item[here] - low) * BLOCK + doc[entry[here]], gain[entry[here]])
-        score = score.reshape(high - low, BLOCK)
+                np.add.at(score, (item[here] - low) * p.block + doc[entry[here]], gain[entry[here]])
+        score = score.reshape(high - low, p.block)
         best = -np.partition(-score, BEST - 1, axis=1)[:, :BEST]
         least = np.maximum(best.min(axis=1), bound.value[low:high])
         item, doc = np.nonzero((score > 0) & (score + p.rest[stage, low:high, None] >= least[:, None]))
@@ -246,7 +245,7 @@ def visit(carried: DataFrame, lists: DataFrame, plan, stage: int, bound) -> Data
     return carried.drop("best").groupBy(*by).cogroup(lists.groupBy(*by)).applyInArrow(add, CARRIED)
 
 
-def bounds(carried: DataFrame, items: int) -> np.ndarray:
+def bounds(carried: DataFrame, items: int, bundle: int) -> np.ndarray:
     """The 50th best score so far of each item; 0 if it has fewer."""
 
     def merge(batches):
@@ -256,9 +255,9 @@ def bounds(carried: DataFrame, items: int) -> np.ndarray:
                 best = np.frombuffer(row["best"], "<i8").reshape(-1, BEST)
                 both = np.concatenate([held[row["bundle"]], best], 1) if row["bundle"] in held else best
                 held[row["bundle"]] = -np.sort(-both, axis=1)[:, :BEST]
-        for bundle, best in held.items():
+        for number, best in held.items():
             item, place = np.nonzero(best)
-            yield pa.RecordBatch.from_arrays([pa.array(item + bundle * BUNDLE), pa.array(best[item, place])], ["item", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(item + number * bundle), pa.array(best[item, place])], ["item", "score"])
 
     rows = carried.select("bundle", "best").mapInArrow(merge, "item long, score long")
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"))))
@@ -268,7 +267,7 @@ def bounds(carried: DataFrame, items: int) -> np.ndarray:
     return out
 
 
-def select_best(carried: DataFrame, blocks: DataFrame, bound) -> DataFrame:
+def select_best(carried: DataFrame, blocks: DataFrame, bound, bundle: int) -> DataFrame:
     """(item, doc_id, score): the best of each block that reach the item's bound, at most 50 of each item."""
     kind = blocks.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("doc_id", kind), T.StructField("score", T.LongType())])
@@ -278,7 +277,7 @@ def select_best(carried: DataFrame, blocks: DataFrame, bound) -> DataFrame:
         place = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64) if len(ids) else None
         items, docs, scores = [], [], []
         for row in bundles.to_pylist():
-            item = np.frombuffer(row["item"], "<u2").astype(np.int64) + row["bundle"] * BUNDLE
+            item = np.frombuffer(row["item"], "<u2").astype(np.int64) + row["bundle"] * bundle
             doc, score = np.frombuffer(row["doc"], "<u2").astype(np.int64), np.frombuffer(row["score"], "<i8")
             reach = np.flatnonzero(score >= bound.value[item])
             item, doc, score = item[reach], doc[reach], score[reach]
@@ -295,7 +294,7 @@ def select_best(carried: DataFrame, blocks: DataFrame, bound) -> DataFrame:
     return carried.groupBy("block").cogroup(blocks.select("block", "ids").groupBy("block")).applyInArrow(select, schema)
 
 
-def _pass(docs: DataFrame, pairs: list) -> DataFrame | None:
+def _pass(docs: DataFrame, pairs: list, block: int, bundle: int) -> DataFrame | None:
     """Results of the items of ``pairs`` (item_id, term): item number, doc_id, score; with the ids by number."""
     spark = docs.sparkSession
     ids = list(dict.fromkeys(r["item_id"] for r in pairs))
@@ -304,7 +303,7 @@ def _pass(docs: DataFrame, pairs: list) -> DataFrame | None:
     item_of = np.array([number[r["item_id"]] for r in pairs], np.int64)
     term_of = np.array([numbers[r["term"].encode()] for r in pairs], np.int64)
 
-    blocks = materialize(count_terms(docs, spark.sparkContext.broadcast(numbers)), "blocks")
+    blocks = materialize(count_terms(docs, spark.sparkContext.broadcast(numbers), block), "blocks")
     totals = blocks.select(
         F.sum(F.size(F.filter("n", lambda n: n > 0))).alias("documents"),
         F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)).alias("words"),
@@ -312,27 +311,31 @@ def _pass(docs: DataFrame, pairs: list) -> DataFrame | None:
     if not totals["words"]:
         return None
     df, most = term_statistics(blocks, len(terms))
-    plan = spark.sparkContext.broadcast(Plan(item_of, term_of, len(ids), len(terms), totals["documents"], totals["words"], df, most))
+    sizes = (len(ids), len(terms), totals["documents"], totals["words"])
+    plan = spark.sparkContext.broadcast(Plan(item_of, term_of, *sizes, df, most, block, bundle))
     carried, bound = spark.createDataFrame([], CARRIED), np.zeros(len(ids), np.int64)
     for stage in range(len(SHARES)):
         lists = owner_lists(blocks, plan, stage)
         carried = materialize(visit(carried, lists, plan, stage, spark.sparkContext.broadcast(bound)), "carried")
-        bound = bounds(carried, len(ids))
-    return select_best(carried, blocks, spark.sparkContext.broadcast(bound))
+        bound = bounds(carried, len(ids), bundle)
+    return select_best(carried, blocks, spark.sparkContext.broadcast(bound), bundle)
 
 
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, rank, doc_id, score: each item's 50 documents of highest score above 0."""
+def search(docs: DataFrame, items: DataFrame, block: int = BLOCK, bundle: int = BUNDLE, pass_terms: int = PASS_TERMS) -> DataFrame:
+    """item_id, rank, doc_id, score: each item's 50 documents of highest score above 0.
+
+    A ``block`` has at least 50 documents and at most 65,536, a ``bundle`` at most 65,536 items.
+    """
     spark = docs.sparkSession
     ship(spark)
     wanted = materialize(item_terms(items), "items")
-    passes = -(-wanted.count() // PASS_TERMS)
+    passes = -(-wanted.count() // pass_terms)
     id_field = T.StructField("item_id", items.schema["item_id"].dataType)
     found = []
     for part in range(passes):
         # About PASS_TERMS rows, however many items there are.
         pairs = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part).collect()
-        ranked = _pass(docs, pairs) if pairs else None
+        ranked = _pass(docs, pairs, block, bundle) if pairs else None
         if ranked is not None:
             ids = list(dict.fromkeys(r["item_id"] for r in pairs))
             named = spark.createDataFrame([*enumerate(ids)], T.StructType([T.StructField("item", T.LongType()), id_field]))

@@ -194,7 +194,7 @@ def found(df):
     return Counter(tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect())
 
 
-def test_search_equals_a_plain_one(spark, monkeypatch):
+def test_search_equals_a_plain_one(spark):
     # Small blocks and bundles, so that bounds, ties and passes all take part.
     draw = random.Random(11)
     words = [f"w{i}" for i in range(60)] + ["Rare", "É", "x9"]
@@ -205,9 +205,7 @@ def test_search_equals_a_plain_one(spark, monkeypatch):
     a, b = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(items, "item_id long, text string")
     want = plain_search(docs, items)
     assert found(lexical.search(a, b)) == want
-    for name, value in (("BLOCK", 64), ("BUNDLE", 7), ("PASS_TERMS", 100)):
-        monkeypatch.setattr(lexical, name, value)
-    assert found(lexical.search(clashing(a), clashing(b))) == want
+    assert found(lexical.search(clashing(a), clashing(b), block=64, bundle=7, pass_terms=100)) == want
 
 
 def test_owners_share_the_work_by_weight():
