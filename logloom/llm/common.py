@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -49,11 +50,19 @@ def remembered(key, make):
     return _REMEMBERED[key]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which glibc keeps for the process otherwise."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def forget() -> None:
     """Lets a worker give back what an earlier stage has made it remember; for stages that remember nothing."""
-    if _REMEMBERED:
-        _REMEMBERED.clear()
-        gc.collect()
+    _REMEMBERED.clear()
+    gc.collect()
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

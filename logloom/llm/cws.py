@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from logloom.session import materialize
 
-from .common import chunked, forget, ship, starts_of
+from .common import chunked, forget, give_back, ship, starts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -42,6 +42,7 @@ BANDS, ROWS = 12, 3
 CELLS = 1 << 20  # of each of the two rows of the frequency sketch
 PART = 1 << 12  # cells that are summed together
 BLOCK = 512  # texts of a bucket that are compared with as many others at a time
+SHINGLES = 1 << 18  # that are held together in such a comparison, or one text
 CHUNK = 1 << 19  # characters whose shingles are made at a time
 DRAWS = 1 << 16  # table of random draws, indexed by hash
 
@@ -431,6 +432,16 @@ def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarit
     )
 
     def pairs_of(members: pd.DataFrame) -> pa.RecordBatch:
+        """Long texts are taken in parts of a bounded number of shingles, each two parts together."""
+        place = np.cumsum([len(f) // 12 for f in members["features"]]) // SHINGLES
+        cut = [members[place == p] for p in np.unique(place)]
+        if len(cut) < 2:
+            return compared(members)
+        found = [compared(pd.concat([cut[i], cut[j]])) for i in range(len(cut)) for j in range(i)]
+        ends = [pa.concat_arrays([f.column(c) for f in found]) for c in ("a", "b")]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def compared(members: pd.DataFrame) -> pa.RecordBatch:
         root, side, node = (members[c].to_numpy() for c in ("root", "side", "node"))
         differ = root[:, None] != root[None, :]
         # Where two blocks meet, each of them on its own is another group.
@@ -441,10 +452,11 @@ def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarit
 
     def compare(batches):
         """Whole groups at a time, several small ones together."""
+        forget()
         held = None
         for batch in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            if held.num_rows < 2 * block:
+            if held.num_rows < 2 * block and held.nbytes < 1 << 25:
                 continue
             group = held.column("group").to_numpy()
             last = starts_of(group)[-1]
@@ -452,6 +464,8 @@ def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarit
             held = held.slice(last)
         if held is not None:
             yield from parts(held)
+        held = None
+        give_back()
 
     def parts(table: pa.Table):
         if not table.num_rows:
