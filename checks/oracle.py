@@ -234,6 +234,9 @@ FROM raw_logs, (VALUES ('batch'), ('stream')) o(origin)""",
     "line_numbers": _with(
         ["raw_logs"], "SELECT event_id // 5000 AS chunk, event_id % 5000 + 1 AS line_number, raw_line FROM raw_logs"
     ),
+    "line_numbers_resplit": _with(
+        ["raw_logs"], "SELECT event_id // 5000 AS chunk, event_id % 5000 + 1 AS line_number, raw_line FROM raw_logs"
+    ),
     "admit_files": _with(
         ["log_files"],
         r"""SELECT id, filename, size_bytes,

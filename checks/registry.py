@@ -104,6 +104,19 @@ def line_numbers(spark, sf_dir):
     return lines.select(chunk_of(F.col("stored_path")), "line_number", "raw_line")
 
 
+@query
+def line_numbers_resplit(spark, sf_dir):
+    """Lines read in small splits, then counted and numbered under the usual settings."""
+    lines, size = logs.read_logs(spark, write_log_files(spark, sf_dir)), "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, "100000")
+    try:
+        placed = logs.place_lines(lines)
+    finally:
+        spark.conf.set(size, usual)
+    return logs.with_line_number(placed).select(chunk_of(F.col("stored_path")), "line_number", "raw_line")
+
+
 @query
 def admit_files(spark, sf_dir):
     accepted, refused = logs.admit_files(files(spark, sf_dir), max_mb=200)

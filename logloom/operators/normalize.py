@@ -154,6 +154,6 @@ def normalize(lines: DataFrame, line_col: str = "raw_line", reference_year: int
     )
     df = df.withColumns(_status_columns())
     # A filter on a parsed column must stay above the parsing: pushed below, it would parse a line
-    # again for every mention of the column. No filter passes a projection with a random column.
-    fenced = df.select(*keep, *PARSED_COLUMNS, F.rand().alias("_fence")).where(F.col("_fence") >= 0)
-    return fenced.drop("_fence")
+    # again for every mention of the column. The columns of a generator stop it, and filters on
+    # kept columns pass on to the scan.
+    return df.select(*keep, F.inline(F.array(F.struct(*PARSED_COLUMNS))))

@@ -13,7 +13,7 @@ from ..operators.aggregates import file_summary
 from ..operators.filters import utc_now
 from ..operators.joins import drop_orphans, join_small, not_stored
 from ..operators.normalize import normalize
-from ..session import materialize
+from ..session import materialize, remove_path, scratch_path
 from ..sources import logs, tables
 from .analytics import run_analytics
 
@@ -104,19 +104,22 @@ def take_in(
     compared with those the scan counted, and the lines of their earlier versions go. A failure is
     recorded with its error and raised. ``known`` is the state of the store before these files.
     """
-    ingest_id = uuid.uuid4().hex
+    ingest_id, path = uuid.uuid4().hex, scratch_path(spark, "lines")
     known = tables.known_files(spark, root) if known is None else known
     earlier = earlier_ingests(known, files)
     record_state(files, root, ingest_id, "uploaded", "processing")
     try:
-        splits = logs.count_splits(lines)
-        entries = drop_orphans(entries_of(lines, reference_year, splits), files)
+        placed = logs.place_lines(lines.select("log_file_id", "block_start", "raw_line"), path)
+        splits = logs.count_splits(placed)
+        entries = drop_orphans(entries_of(placed, reference_year, splits), files)
         counted = counted_files(files, splits, store_entries(entries, root, ingest_id, earlier))
         retire(spark, known, files, root, ingest_id)
         finish_files(counted, root, ingest_id)
     except Exception as error:
         record_state(files, root, ingest_id, "failed", error=str(error))
         raise
+    finally:
+        remove_path(spark, path)
 
 
 def retire(spark: SparkSession, known: DataFrame, files: DataFrame, root: str, ingest_id: str) -> None:

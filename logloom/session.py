@@ -55,14 +55,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def remove_scratch(spark: SparkSession) -> int:
     """Delete what this application wrote to the shared folder; results read from it are gone as well."""
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    paths = list(_SCRATCH.get(spark.sparkContext.applicationId, []))
     for path in paths:
-        target = hadoop(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove_path(spark, path)
     return len(paths)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete one folder of ``scratch_path``, before the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _SCRATCH[spark.sparkContext.applicationId].remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

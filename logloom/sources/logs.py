@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import at_most, materialize
+from ..session import at_most, materialize, scratch_path
 
 EXTENSIONS = ("log", "txt", "json")
 # One row of five numbers per file split: 2,000,000 splits of 128 MB are 256 TB of text.
@@ -99,16 +99,26 @@ def log_lines(text: DataFrame) -> DataFrame:
 _SPLIT = ["log_file_id", "block_start"]
 
 
-def count_splits(lines: DataFrame) -> DataFrame:
-    """One row per file split with its lines: the first row id, their number, and those before it.
+def place_lines(lines: DataFrame, path: str | None = None) -> DataFrame:
+    """The lines with ``_id``, which grows by one from line to line of a file split; written to ``path``.
 
-    Written to the shared folder, as the lines are read once for it.
+    The files are read once, here. What follows reads the written rows, so it does not matter whether
+    executors or settings change and the files would be split differently, or are replaced meanwhile.
+    ``lines`` must come from a scan without a join or shuffle.
     """
-    counts = (
-        lines.withColumn("_id", F.monotonically_increasing_id())
-        .groupBy(*_SPLIT)
-        .agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
-    )
+    path = path or scratch_path(lines.sparkSession, "lines")
+    placed = lines.withColumn("_id", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    return lines.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    return lines if "_id" in lines.columns else place_lines(lines)
+
+
+def count_splits(lines: DataFrame) -> DataFrame:
+    """One row per file split with its lines: the first row id, their number, and those before it. Written out."""
+    counts = _placed(lines).groupBy(*_SPLIT).agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
     earlier = Window.partitionBy("log_file_id").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -121,18 +131,17 @@ def with_line_number(
     """Add ``line_number``, from 1 within each file, without sorting or shuffling the lines.
 
     Lines keep their order inside a file split, so a line's place is the number of lines in
-    the earlier splits of the file plus its distance from the first line of its own split. Should
-    the lines be split differently than they were for ``count_splits``, the job stops at the first
-    line outside its split or in a split that was not counted. ``lines`` must come from a scan without
-    a join or shuffle.
+    the earlier splits of the file plus its distance from the first line of its own split. Lines that
+    don't come from ``place_lines`` are placed first. Should ``splits`` come from other lines, the job
+    stops at the first line outside its split or in a split that was not counted.
     """
+    lines = _placed(lines)
     splits = count_splits(lines) if splits is None else splits
     side = F.broadcast(splits) if at_most(splits, bound) else splits
-    numbered = lines.withColumn("_id", F.monotonically_increasing_id())
     place = F.col("_id") - F.col("_first")
     counted = F.coalesce(place.between(0, F.col("_lines") - 1), F.lit(False))
     number = F.when(counted, F.col("_before") + place + 1).otherwise(
-        F.raise_error(F.lit("the scan was split differently while counting lines")).cast("bigint")
+        F.raise_error(F.lit("the lines were split differently when they were counted")).cast("bigint")
     )
-    joined = numbered.join(side, _SPLIT, "left").withColumn("line_number", number)
+    joined = lines.join(side, _SPLIT, "left").withColumn("line_number", number)
     return joined.drop("_id", "_first", "_lines", "_before")

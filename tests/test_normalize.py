@@ -162,3 +162,14 @@ def test_filters_on_parsed_columns_do_not_repeat_the_parsing(spark):
     plan = normalize(df).where("parse_status = 'failed' AND level IS NULL")._jdf.queryExecution().toString()
     optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert optimized.count("from_json") == 1
+
+
+def test_filters_on_kept_columns_reach_the_scan_and_others_stay_above_the_parsing(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(10).selectExpr("id", "'garbage' AS raw_line").write.parquet(path)
+    found = normalize(spark.read.parquet(path)).where("id > 5 AND level = 'loud' AND service <> 'x'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate inline", 1)
+    assert "level" in above and "regexp_replace" not in above and "id#" not in above.split("Filter", 1)[1]
+    assert "> 5" in below and "loud" in above and "loud" not in below
+    assert "GreaterThan(id,5)" in found._jdf.queryExecution().executedPlan().toString()

@@ -105,3 +105,19 @@ def test_a_split_that_was_not_counted_stops_the_job(spark, tmp_path):
             logs.with_line_number(logs.read_logs(spark, str(tmp_path)), splits).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_placed_lines_are_numbered_under_any_later_settings(spark, tmp_path):
+    want = [f"line {i}" for i in range(4000)]
+    write(tmp_path, "a.log", "\n".join(want).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        placed = logs.place_lines(logs.read_logs(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert placed.select("block_start").distinct().count() > 5
+    splits = logs.count_splits(placed)
+    write(tmp_path, "a.log", b"replaced meanwhile\n")
+    got = {r["line_number"]: r["raw_line"] for r in logs.with_line_number(placed, splits).collect()}
+    assert got == dict(enumerate(want, 1))
