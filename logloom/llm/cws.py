@@ -12,8 +12,10 @@ a bucket. There each is first compared with the bucket's hub, which is another t
 the exact weighted Jaccard similarity. Linked texts form a class by connected components; a bucket
 within one class is done, which spares the pairs of a group of copies. In all other buckets (a shared
 template brings texts together that are not similar) every two texts of different classes are compared,
-block by block inside the tasks, by matrix products that give an upper bound of what they share; only the
-few that pass become pairs to verify. So every similar pair that meets in a bucket ends in one class. The members of a bucket's largest class are not compared with each other.
+block by block inside the tasks, by matrix products that give an upper bound of what they share; those that
+pass are verified there, unless links found before join their classes already. So every similar pair that
+meets in a bucket ends in one class, and a task returns a spanning forest of the classes it holds, not their
+pairs. The members of a bucket's largest class are not compared with each other.
 
 Equal texts are always one class, and so are texts that differ only in case and white space. Null texts
 count as empty; all texts without a word are one class. Repeated rows are classed like their first. A null
@@ -347,11 +349,8 @@ def links(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` (node, root) after the classes that ``edges`` (a, b) link have become one."""
-    roots = [labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"]
-    between = edges.join(roots[0], "a").join(roots[1], "b").where("root_a != root_b")
-    between = materialize(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+def joined(labels: DataFrame, between: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after the classes that ``between`` links, pairs (a, b) of roots, have become one."""
     if between.isEmpty():
         return labels
     merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("into"))
@@ -422,8 +421,44 @@ def possible(members: pd.DataFrame, similarity: float) -> np.ndarray:
     return (shared >= least) & (group[:, None] == group[None, :])
 
 
-def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and can be similar."""
+def spanning_links(members: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of classes, by their roots, that similar members (rows with ``group``, ``apart``, ``node``, ``root``,
+    ``side`` and ``features``) of the same group link: a spanning forest, so fewer than there are classes.
+
+    Every two members that can be similar are verified unless links found before join their classes already.
+    Long texts are taken in parts of a bounded number of shingles, each two parts together.
+    """
+    root, side, features = members["root"].to_numpy(), members["side"].to_numpy(), members["features"].tolist()
+    apart, label = members["apart"].to_numpy(), np.unique(root, return_inverse=True)[1]
+    place = np.cumsum([len(f) // 12 for f in features]) // SHINGLES
+    cut = [np.flatnonzero(place == p) for p in np.unique(place)]
+    together = cut if len(cut) < 2 else [np.r_[cut[i], cut[j]] for i in range(len(cut)) for j in range(i)]
+    links_found = []
+    for rows in together:
+        if (label[rows] == label[rows[0]]).all():
+            continue
+        # Where two blocks meet, each of them on its own is another group.
+        open_ = ~apart[rows][:, None] | (side[rows][:, None] != side[rows][None, :])
+        open_ &= np.triu(possible(members.iloc[rows], similarity), 1)
+        while True:
+            open_ &= label[rows][:, None] != label[rows][None, :]
+            x = np.flatnonzero(open_.any(axis=1))
+            if not len(x):
+                break
+            y = open_[x].argmax(axis=1)
+            open_[x, y] = False
+            for i, j in zip(rows[x].tolist(), rows[y].tolist()):
+                if label[i] != label[j] and weighted_jaccard(features[i], features[j]) >= similarity:
+                    links_found.append((min(root[i], root[j]), max(root[i], root[j])))
+                    label[label == label[j]] = label[i]
+    return links_found
+
+
+def block_links(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of roots of classes that similar texts of a shared bucket link.
+
+    The texts are verified where they are compared, and a task returns fewer pairs than it holds rows.
+    """
     grouped = materialize(blocks(mixed_buckets(nodes, labels), block), "blocks")
     described = grouped.join(found, "node").select(
         F.xxhash64("key", "kind", "i", "j").alias("group"),
@@ -431,24 +466,9 @@ def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarit
         "node", "root", "side", "features",
     )
 
-    def pairs_of(members: pd.DataFrame) -> pa.RecordBatch:
-        """Long texts are taken in parts of a bounded number of shingles, each two parts together."""
-        place = np.cumsum([len(f) // 12 for f in members["features"]]) // SHINGLES
-        cut = [members[place == p] for p in np.unique(place)]
-        if len(cut) < 2:
-            return compared(members)
-        found = [compared(pd.concat([cut[i], cut[j]])) for i in range(len(cut)) for j in range(i)]
-        ends = [pa.concat_arrays([f.column(c) for f in found]) for c in ("a", "b")]
-        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
-
-    def compared(members: pd.DataFrame) -> pa.RecordBatch:
-        root, side, node = (members[c].to_numpy() for c in ("root", "side", "node"))
-        differ = root[:, None] != root[None, :]
-        # Where two blocks meet, each of them on its own is another group.
-        differ &= ~members["apart"].to_numpy()[:, None] | (side[:, None] != side[None, :])
-        x, y = np.nonzero(np.triu(possible(members, similarity) & differ, 1))
-        ends = np.sort(np.stack([node[x], node[y]]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+    def linked(members: pd.DataFrame) -> pa.RecordBatch:
+        ends = np.array(spanning_links(members, similarity), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends.T], ["a", "b"])
 
     def compare(batches):
         """Whole groups at a time, several small ones together."""
@@ -474,9 +494,9 @@ def block_pairs(nodes: DataFrame, labels: DataFrame, found: DataFrame, similarit
         first, bounds = 0, [*starts_of(members["group"].to_numpy()).tolist(), len(members)]
         for start, end in zip(bounds, bounds[1:]):
             if end - first > block and start > first:
-                yield pairs_of(members.iloc[first:start])
+                yield linked(members.iloc[first:start])
                 first = start
-        yield pairs_of(members.iloc[first:])
+        yield linked(members.iloc[first:])
 
     dealt = described.repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
@@ -506,8 +526,7 @@ def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: i
 
     labels = components(materialize(links(pairs, found, similarity), "links"))
     labels = materialize(involved.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-    more = block_pairs(nodes, labels, found, similarity).join(pairs, ["a", "b"], "left_anti")
-    labels = joined(labels, links(materialize(more, "pairs"), found, similarity))
+    labels = joined(labels, materialize(block_links(nodes, labels, found, similarity), "links"))
     rooted = texts.join(labels, "node", "left").select("digest", "first_doc", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
     return signed.select("doc_id", "digest").join(rooted.join(firsts, "root").drop("first_doc"), "digest")

@@ -142,6 +142,57 @@ def test_recall_within_templates(spark, own):
     assert sum(got[i] == c for i, c in want.items()) >= 79
 
 
+def _near_texts(draw, groups, each):
+    """Texts alike in groups, some of them less alike than others; (texts, features as the operator makes them)."""
+    idf, texts = cws.scaled_idf(50, np.zeros(2 * cws.CELLS, np.int64)), []
+    for g in range(groups):
+        for i in range(each):
+            own = [f"g{g}_{w}" for w in range(80)]
+            for at in draw.choice(80, i % 4, replace=False):
+                own[at] = f"x{draw.integers(1_000_000)}"
+            texts.append(" ".join(own))
+    blobs = [cws.shingles([t.encode()]) for t in texts]
+    return [s.tobytes() + cws.weights(s, n, idf).tobytes() for _, s, n in blobs]
+
+
+def _united(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("held", [1 << 18, 600])
+def test_links_of_a_group_are_a_spanning_forest(monkeypatch, held):
+    import pandas as pd
+
+    monkeypatch.setattr(cws, "SHINGLES", held)
+    blobs = _near_texts(np.random.default_rng(21), 3, 40)
+    n = len(blobs)
+    similar = [(a, b) for a in range(n) for b in range(a) if cws.weighted_jaccard(blobs[a], blobs[b]) >= 0.8]
+    members = pd.DataFrame({"group": 5, "apart": False, "node": range(n), "root": range(n), "side": 0, "features": blobs})
+    found = cws.spanning_links(members, 0.8)
+    want = _united(n, similar)
+    assert _united(n, found) == want and len(found) == n - len(set(want)) and len(similar) > 4 * n
+    apart = members.assign(apart=True, side=np.arange(n) % 2)
+    across = [(a, b) for a, b in similar if (a - b) % 2]
+    assert _united(n, cws.spanning_links(apart, 0.8)) == _united(n, across)
+
+
+def test_blocks_return_fewer_links_than_members(spark):
+    blobs = _near_texts(np.random.default_rng(22), 2, 60)
+    n = len(blobs)
+    nodes = spark.createDataFrame([(i, [7]) for i in range(n)], "node long, bands array<long>")
+    labels = spark.createDataFrame([(i, i) for i in range(n)], "node long, root long")
+    found = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)], "node long, features binary")
+    links = [(r["a"], r["b"]) for r in cws.block_links(nodes, labels, found, 0.8, 32).collect()]
+    members = cws.blocks(cws.mixed_buckets(nodes, labels), 32).count()
+    similar = [(a, b) for a in range(n) for b in range(a) if cws.weighted_jaccard(blobs[a], blobs[b]) >= 0.8]
+    assert _united(n, links) == _united(n, similar)
+    assert len(links) < members < len(similar)
+
+
 def test_blocks_meet_all_pairs_of_different_classes(spark):
     draw = np.random.default_rng(8)
     rows = [(k, i, int(draw.integers(3)) if i % 4 else 9) for k in range(3) for i in range(40 * k, 40 * k + 40)]
