@@ -15,6 +15,8 @@ from logloom.llm.common import table
 from logloom.session import materialize
 
 TOXIC = 0.3
+# Executors still hold the heap that the stages before have filled, so packing remembers fewer words here.
+CACHED_WORDS = 50_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents with their sequence and place."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=CACHED_WORDS)
 
 
 STAGES = [

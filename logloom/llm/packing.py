@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from logloom.session import materialize
 
-from .common import remembered, ship
+from .common import forget, remembered, ship
 
 CAPACITY = 4096
 END_ID = 1
@@ -53,9 +53,10 @@ class WordIds:
     The tokenizer never joins characters across ASCII white space, so the ids of a text are those of
     its words one after another. A word's ids are kept as little-endian 32-bit bytes. Plain words go
     straight to the vocabulary's merges, which are remembered too; all others through the tokenizer.
+    More than ``cached_words`` of either are kept only while the texts at hand need them.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, cached_words: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,6 +65,7 @@ class WordIds:
         # Bytes as the printable characters of byte-level vocabularies, by their usual rule.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.visible = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.cached_words = cached_words
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -94,18 +96,22 @@ class WordIds:
     def __call__(self, words: list[list[bytes]]) -> list[bytes]:
         wanted = set().union(*words) if words else set()
         missing = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(missing) > CACHED_WORDS:
+        if len(self.known) + len(missing) > self.cached_words:
             self.known = {w: self.known[w] for w in wanted if w in self.known}
-        if len(self.parts) > CACHED_WORDS:
+        if len(self.parts) > self.cached_words:
             self.parts = {}
         self._learn(missing)
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False,
+    cached_words: int = CACHED_WORDS,
+) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 (and ids).
 
-    ``tokenizer`` is the path of a tokenizers file; the driver reads it and sends it along.
+    ``tokenizer`` is the path of a tokenizers file; the driver reads it and sends it along. A Python worker
+    remembers ``cached_words`` words at most: 500,000 take about 200 MB, 50,000 about 80 MB and more time.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -126,8 +132,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     step = capacity * 4
     end = np.array([end_id], "<u4").tobytes()
 
+    def learner():
+        forget()
+        return WordIds(source.value, cached_words)
+
     def cut(batches):
-        ids_of = remembered(("tokenizer", checksum), lambda: WordIds(source.value))
+        ids_of = remembered(("tokenizer", checksum, cached_words), learner)
         for batch in batches:
             doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             rows = []
@@ -329,6 +339,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.withColumn("_at", place("_w", "_rank")).select("_row.*", "_at.sequence_id", "_at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """The pieces of all documents with their sequence and the offset in it."""
-    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id, cached_words=cached_words), "pieces"), capacity)

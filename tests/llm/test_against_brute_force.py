@@ -376,6 +376,20 @@ def test_words_tokenize_like_texts():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_remembered_words_stay_within_their_bound():
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as file:
+        text = file.read()
+    tokenizer, ids_of = Tokenizer.from_str(text), packing.WordIds(text, cached_words=60)
+    for first in range(0, 400, 20):
+        t = " ".join(f"Word{i % 90}s of, W{i}-x{i} the" for i in range(first, first + 20))
+        (ids,) = ids_of([t.encode().split()])
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        # Beyond the bound only what one call brings: 42 words and their parts.
+        assert len(ids_of.known) <= 60 + 42 and len(ids_of.parts) <= 60 + 2 * 82
+
+
 def _fewest(sizes: list[int], capacity: int) -> int:
     best = len(sizes)
 
