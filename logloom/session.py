@@ -27,7 +27,8 @@ def build_session(app_name: str = "logloom", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RUNTIME, **conf}.items():
+    # A plan shows all filters that reach a scan; by default Spark cuts them at 100 characters.
+    for key, value in {"spark.sql.maxMetadataStringLength": "2000", **RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     given = spark.sparkContext.getConf()

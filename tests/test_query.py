@@ -60,6 +60,15 @@ def test_time_bounds_reach_the_partitions(spark, seeded, tmp_path):
     assert filters.by_time(stored, datetime(2025, 3, 2, 8, 5)).count() == 5
 
 
+def test_plans_show_every_filter_of_a_scan(spark, tmp_path):
+    spark.createDataFrame([(1, datetime(2025, 3, 2).date())], "n INT, event_date DATE").write.partitionBy("event_date").parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    for day in range(1, 9):
+        stored = stored.where((F.col("event_date") >= F.lit(f"2025-03-0{day}").cast("date")) | F.col("event_date").isNull())
+    text = stored._jdf.queryExecution().executedPlan().toString()
+    assert all(f">= 2025-03-0{day})" in text.split("PartitionFilters: [")[1].split("]")[0] for day in range(1, 9))
+
+
 def test_default_range():
     now = datetime(2025, 1, 2, 3)
     assert filters.default_range(now=now) == (now - timedelta(hours=24), now)
