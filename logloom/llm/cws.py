@@ -186,14 +186,15 @@ def count_shingles(docs: DataFrame, words: int = WORDS) -> tuple[int, np.ndarray
 
 def scaled_idf(total: int, cells: np.ndarray) -> np.ndarray:
     """Per cell 1 + ln(documents / frequency) / ln(documents), between 1 and 2."""
-    if total < 2:
-        return np.full(2 * CELLS, 2, np.float32)
-    out = []
-    for row in (cells[:CELLS], cells[CELLS:]):
-        noise = (row.sum() - row) / (CELLS - 1)
-        frequency = np.clip(row - noise, 1, total)
-        out.append(1 + np.log(total / frequency) / np.log(total))
-    return np.concatenate(out).astype(np.float32)
+    out = np.full(2 * CELLS, 2, np.float32)
+    for first in range(0, 2 * CELLS if total >= 2 else 0, CELLS):
+        counted = cells[first : first + CELLS].sum()
+        for part in range(first, first + CELLS, PART):  # as the driver should not hold several copies of the sketch
+            row = cells[part : part + PART]
+            noise = (counted - row) / (CELLS - 1)
+            frequency = np.clip(row - noise, 1, total)
+            out[part : part + PART] = 1 + np.log(total / frequency) / np.log(total)
+    return out
 
 
 def weights(s: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -312,20 +313,21 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component. ``edges`` (a, b) are read often."""
+    """(node, root): the smallest node of each connected component. ``edges`` (a, b) are read often.
+
+    A round groups once and looks twice into the labels of the round before, which are stored: the driver
+    has fewer tasks and broadcasts to keep than with joins of what the round makes.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("root").alias("near"))
-            .withColumnRenamed("a", "node")
-        )
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b")
+        near = near.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("was"), "root")
+        own = labels.select("node", F.col("root").alias("was"), "root")
+        step = own.unionByName(near).groupBy("node").agg(F.max("was").alias("was"), F.min("root").alias("root"))
         # Follow the root's own root as well, which halves long chains.
-        roots = step.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+        roots = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
         step = materialize(
             step.join(roots, "root", "left").select("node", "was", F.coalesce("beyond", "root").alias("root")), "labels"
         )
@@ -506,15 +508,15 @@ def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: i
     """Per row: doc_id, digest, root (of its class), class_id."""
     spark = docs.sparkSession
     ship(spark)
-    total, cells = count_shingles(docs, words)
-    idf = spark.sparkContext.broadcast(scaled_idf(total, cells))
+    idf = spark.sparkContext.broadcast(scaled_idf(*count_shingles(docs, words)))
+    give_back()
     signed = materialize(
         signatures(docs, idf, bands, rows, words).withColumn("row", F.monotonically_increasing_id()), "signatures"
     )
-    texts = signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc"))
-    texts = materialize(texts, "texts")
-    first_rows = texts.select(F.col("node").alias("row"))
-    nodes = signed.join(first_rows, "row").select(F.col("row").alias("node"), "bands")
+    # Rows of one digest have the same bands.
+    firsts = F.min("row").alias("node"), F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands")
+    texts = materialize(signed.groupBy("digest").agg(*firsts), "texts")
+    nodes = texts.select("node", "bands")
     pairs = materialize(candidates(nodes), "pairs")
 
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -528,8 +530,8 @@ def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, words: i
     labels = materialize(involved.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
     labels = joined(labels, materialize(block_links(nodes, labels, found, similarity), "links"))
     rooted = texts.join(labels, "node", "left").select("digest", "first_doc", F.coalesce("root", "node").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    return signed.select("doc_id", "digest").join(rooted.join(firsts, "root").drop("first_doc"), "digest")
+    class_ids = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
+    return signed.select("doc_id", "digest").join(rooted.join(class_ids, "root").drop("first_doc"), "digest")
 
 
 def near_duplicates(

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from logloom.session import materialize
 
-from .common import chunked, labelled_ids, remembered, ship
+from .common import chunked, give_back, labelled_ids, remembered, ship
 
 PER_CLASS = 4_000  # labelled documents to learn from, each of toxic and clean
 POSITIVE_WORDS, NEGATIVE_WORDS = 300, 10_000
@@ -50,6 +50,7 @@ SYMBOLS = 64
 FEATURES = SYMBOLS**3
 BEGIN = "\x02"  # put before every word, a symbol of its own
 HIGHEST = 1.5  # margins are clipped to it
+TOGETHER = 1_000  # words that the training takes at a time, as the driver holds them
 
 _PATTERNS = [(a, b) for a in range(1, GAPS + 2) for b in range(1, GAPS + 2)]
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){3,}(?!\S)")
@@ -118,26 +119,33 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     li, lv = subsequences(encode(landmarks))
     norms = np.maximum(_norms(lv), _least_norm())
     out = np.empty((len(words), len(landmarks)), np.float32)
-    for first in range(0, len(words), 4_000):
-        wi, wv = subsequences(encode(words[first : first + 4_000]))
+    dense = np.zeros(FEATURES + 1, np.float32)
+    for first in range(0, len(words), TOGETHER):
+        wi, wv = subsequences(encode(words[first : first + TOGETHER]))
         own = np.maximum(_norms(wv), _least_norm())
         for j in range(len(landmarks)):
-            dense = np.zeros(FEATURES + 1, np.float32)
             dense[li[j]] = lv[j] * (li[j] >= 0)
             dense[-1] = 0
-            out[first : first + 4_000, j] = (dense[wi] * wv).sum(1) / own / norms[j]
+            out[first : first + TOGETHER, j] = (dense[wi] * wv).sum(1) / own / norms[j]
+            dense[li[j]] = 0
     return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights and bias of the linear machine with squared hinge loss, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float64)
-    ridge = np.diag(np.r_[np.ones(x.shape[1] - 1), 1e-6])
-    w = np.zeros(x.shape[1])
+    width = x.shape[1] + 1
+    ridge = np.diag(np.r_[np.ones(width - 1), 1e-6])
+    w = np.zeros(width)
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve(ridge + 2 * (xa * ca[:, None]).T @ xa, 2 * (xa * ca[:, None]).T @ y[active])
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        squares, right = ridge.copy(), np.zeros(width)
+        for first in range(0, len(active), TOGETHER):
+            rows = active[first : first + TOGETHER]
+            xa = np.c_[x[rows], np.ones(len(rows))]
+            weighted = 2 * (xa * cost[rows][:, None]).T
+            squares += weighted @ xa
+            right += weighted @ y[rows]
+        new = np.linalg.solve(squares, right)
         if np.abs(new - w).max() < 1e-8:
             break
         w = 0.5 * (w + new) if _ > 20 else new
@@ -224,7 +232,11 @@ def _train(positive: list[str], negative: list[str], landmarks: list[str], negat
     root = vectors[:, kept] / np.sqrt(values[kept])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     cost = COST * np.r_[np.ones(len(positive)), negative_cost]
-    w = svm(kernel(positive + negative, chosen) @ root, y, cost)
+    words = positive + negative
+    x = np.empty((len(words), root.shape[1]))
+    for first in range(0, len(words), TOGETHER):
+        x[first : first + TOGETHER] = kernel(words[first : first + TOGETHER], chosen) @ root
+    w = svm(x, y, cost)
     scale = root @ w[:-1]
     index, value = subsequences(encode(chosen))
     scale = scale / np.maximum(_norms(value), _least_norm())
@@ -372,6 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, p
         hard = scored.orderBy(F.desc("margin"), F.desc("neg"), "word").limit(NEGATIVE_WORDS // 2).collect()
         negatives |= {r["word"]: r["neg"] for r in hard}
         machine = train(positive, negatives, [r["word"] for r in hard])
+    give_back()
     margins = margins_of(docs.sparkSession.sparkContext.broadcast(machine))
     rows = labelled.select("label", margins("text").alias("margins")).collect()
     machine.slopes, machine.offset = platt(np.array([r["margins"] for r in rows]), np.array([r["label"] for r in rows]))
